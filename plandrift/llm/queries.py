@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import bpe, exact_dedup, packing
 from .common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, whole=False)
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -21,6 +25,7 @@ def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
         "op3_vector_packing": op3_vector_packing,
         "op8_perfect_hash_dedup": op8_perfect_hash_dedup,
     }
