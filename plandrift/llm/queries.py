@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing
+from . import bpe, decision_list, exact_dedup, language, packing
 from .common import table
 
 
@@ -19,15 +19,29 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    rules = decision_list.fit(documents, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return decision_list.judge(documents, rules).select(*columns)
+
+
 def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.identify(documents, language.fit(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_vector_packing": op3_vector_packing,
+        "op7_decision_list": op7_decision_list,
         "op8_perfect_hash_dedup": op8_perfect_hash_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
