@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decision_list, exact_dedup, language, packing
+from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference
 from .common import table
 
 
@@ -19,6 +19,18 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.digests(preference.preference(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+#: The rules that the query is to judge by.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), RULES)
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     rules = decision_list.fit(documents, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -39,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_vector_packing": op3_vector_packing,
+        "op4_preference": op4_preference,
+        "op6_link_graph": op6_link_graph,
         "op7_decision_list": op7_decision_list,
         "op8_perfect_hash_dedup": op8_perfect_hash_dedup,
         "op10_language_id": op10_language_id,
@@ -47,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_preference": preference.ORACLE_SQL,
         "op8_perfect_hash_dedup": r"""
             WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
             g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
