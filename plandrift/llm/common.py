@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of texts of about ``most`` characters each, so that what is made of one stays small; a longer text is alone."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        n = len(t or "") + 64
+        if held and held + n > most:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += n
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Splitmix64's finaliser over uint64, for each seed another bijection."""
     x = x + U64(((seed + 1) * _MULT) & 0xFFFFFFFFFFFFFFFF)

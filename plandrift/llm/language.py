@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
+from .common import U64, portions
 
 HASH_BITS, DIMENSION, GRAMS = 16, 16, (2, 4)
 #: Labelled rows to fit on, at most.
@@ -71,7 +71,8 @@ class Model:
         named, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         known = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if known:
-            p = softmax(self.logits([texts[k].encode("utf-8", "surrogatepass") for k in known]) / self.temperature)
+            raw = [texts[k].encode("utf-8", "surrogatepass") for k in known]
+            p = softmax(np.concatenate([self.logits(raw[own]) for own in portions(raw)]) / self.temperature)
             best = p.argmax(axis=1)
             score[known] = p[np.arange(len(known)), best]
             for k, b in zip(known, best):
