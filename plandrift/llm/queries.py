@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference
+from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference, superminhash
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.digests(preference.preference(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
 #: The rules that the query is to judge by.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_vector_packing": op3_vector_packing,
         "op4_preference": op4_preference,
+        "op5_superminhash": op5_superminhash,
         "op6_link_graph": op6_link_graph,
         "op7_decision_list": op7_decision_list,
         "op8_perfect_hash_dedup": op8_perfect_hash_dedup,
