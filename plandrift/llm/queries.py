@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference, superminhash
+from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference, suffix_family, superminhash
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), whole=False)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return language.identify(documents, language.fit(documents))
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_link_graph": op6_link_graph,
         "op7_decision_list": op7_decision_list,
         "op8_perfect_hash_dedup": op8_perfect_hash_dedup,
+        "op9_suffix_family": op9_suffix_family,
         "op10_language_id": op10_language_id,
     }
 
