@@ -1,9 +1,58 @@
-"""A corpus pipeline of five stages."""
+"""A training corpus from raw documents in five stages: language, exact copies, near copies, repeated passages, packing.
 
-STAGES = []
+Each stage works on all that the one before kept, which is written as Parquet in the shared folder and read again.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plandrift.llm import compact_windows, exact_dedup, language, packing, superminhash
+from plandrift.llm.common import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the model is sure of; it is fitted on a bounded sample of them."""
+    return language.accepted(docs, language.fit(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the smallest doc_id."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by a similarity of 0.8 of their 5-word shingles, the one with the smallest doc_id."""
+    return superminhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that near-duplicate one of an earlier document."""
+    return compact_windows.without_passages(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(docs, packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("packing", packed),
+]
+
+#: Language ID, near copies and packing are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decision_list, exact_dedup, language, link_graph, packing, preference, suffix_family, superminhash
+from . import bpe, compact_windows, decision_list, exact_dedup, language, link_graph, packing, preference, suffix_family, superminhash
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, whole=False)
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -58,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_compact_windows": op2_compact_windows,
         "op3_vector_packing": op3_vector_packing,
         "op4_preference": op4_preference,
         "op5_superminhash": op5_superminhash,
