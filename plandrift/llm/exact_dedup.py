@@ -67,6 +67,7 @@ def _wide(digests: pd.Series) -> np.ndarray:
 
 def _meet(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
     """Each distinct digest of a bucket once, with its winner and its copies in history and after."""
+    new = new.rename(columns=lambda c: c.removeprefix("new_"))
     held, asked = _wide(old["digest"]), _wide(new["digest"])
     index = PerfectHash(held)
     order = np.argsort(index.slots(held))
@@ -86,7 +87,8 @@ def groups(digests: DataFrame) -> DataFrame:
     counted = lambda rows: rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("size")).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     old = counted(digests.filter(F.col("doc_id") <= split))
     new = counted(digests.filter(F.coalesce(F.col("doc_id") > split, F.lit(True))))
-    return old.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(_meet, "digest binary, keep_id long, size long")
+    new = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns])  # own attributes: the two sides share a table
+    return old.groupBy("bucket").cogroup(new.groupBy("new_bucket")).applyInPandas(_meet, "digest binary, keep_id long, size long")
 
 
 def normalised(text) -> F.Column:
