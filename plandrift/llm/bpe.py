@@ -18,6 +18,7 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The words that the folded dictionary holds, and the bytes of each, at most.
-DICTIONARY, WORD = 65536, 24
+from .common import written
+
+#: The words that the folded dictionary holds and the bytes of each, at most, and how often one is met at least.
+DICTIONARY, WORD, LEAST = 65536, 24, 4
 #: Words that a task remembers beside them.
 REMEMBERED = 400_000
 #: Buckets of the literal map.
@@ -82,7 +85,11 @@ def dictionary(documents: DataFrame, ranks: dict[bytes, int], pattern: str) -> D
     """(word, ids) of the most frequent distinct words of all texts."""
     words = documents.select(F.explode(F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter((F.octet_length("word") <= WORD) & (F.col("word") != ""))
-    top = counted.orderBy(F.desc("n"), "word").limit(DICTIONARY).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    counted = written(counted.filter(F.col("n") >= LEAST).withColumn("level", F.floor(8 * F.log2("n"))), "words")
+    levels = counted.groupBy("level").count().orderBy(F.desc("level")).collect()  # at most 8 for each doubling of the count
+    sums = list(accumulate(r["count"] for r in levels))
+    low = next((r["level"] for r, n in reversed(list(zip(levels, sums))) if n <= DICTIONARY), None)
+    top = counted.filter(F.col("level") >= low if low is not None else F.lit(False)).repartition(documents.sparkSession.sparkContext.defaultParallelism)
     return top.select("word", folded(F.col("word"), ranks).alias("ids"))
 
 
