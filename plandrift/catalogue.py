@@ -1,11 +1,530 @@
-"""All queries of the engine's own operators, and their SQL."""
+"""A query for each operator over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import geometry, similarity, text
+from .operators import answers, changes, elements, evaluation, matching, observability, ocr, pairing, residual, retrieval
+from .oracles import ORACLES
+from .sources import detect, views
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+PAGE, TRUE = ["page_number"], ["page_number", "seq"]
+SHIFT = [1.01, 0.002, 0.003, -0.002, 0.99, 0.004]
+A, B = F.lit("A"), F.lit("B")
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def sheet(spark: SparkSession, d: str) -> DataFrame:
+    return elements.build(views.tag_sheet(spark, d), F.col("rev"))
+
+
+def revisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = sheet(spark, d)
+    return rows.filter("rev = 'A'"), rows.filter("rev = 'B'")
+
+
+def true_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a, b = matching.sides(*revisions(spark, d), TRUE)
+    return a.join(b, TRUE)
+
+
+def true_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the pairs that are known to belong together, and of the rest."""
+    a, b = revisions(spark, d)
+    pairs = matching.scored(true_pairs(spark, d))
+    parts = changes.matched_changes(pairs, ["seq", *PAGE], A, B)
+    gone = changes.one_sided_changes(a.join(b.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "removed", A, B)
+    new = changes.one_sided_changes(b.join(a.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "added", A, B)
+    return parts.unionByName(gone).unionByName(new)
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """User turns (qid, text)."""
+    return views.read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return views.read(spark, d, "benchmark").select("item_id", "text")
+
+
+def similar(spark: SparkSession, d: str, grams) -> DataFrame:
+    weights, idf = retrieval.fit(corpus(spark, d), grams, ["item_id"])
+    asked = retrieval.query_weights(questions(spark, d), grams, idf, ["qid"])
+    return retrieval.cosine(asked, weights, "qid", "item_id").select("qid", "item_id", F.round("similarity", 9).alias("similarity"))
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, question, item_id, text, similarity, rank): the first three records of each question by words."""
+    first = retrieval.ranked(similar(spark, d, retrieval.word_grams), "qid", "item_id", 3)
+    return first.join(questions(spark, d).withColumnRenamed("text", "question"), "qid").join(F.broadcast(corpus(spark, d)), "item_id")
+
+
+# elements
+
+
+@query
+def el_normalize(spark, d):
+    return views.document_lines(spark, d).select("doc_id", "line_no", text.normalise(F.col("raw_text")).alias("normalized_text"))
+
+
+@query
+def el_identifiers(spark, d):
+    return sheet(spark, d).select("rev", *TRUE, F.array_join("identifiers", ",").alias("identifiers"))
+
+
+@query
+def el_kind(spark, d):
+    return sheet(spark, d).select("rev", *TRUE, "kind")
+
+
+@query
+def el_ids_sha1(spark, d):
+    return sheet(spark, d).select("rev", *TRUE, "element_id")
+
+
+@query
+def el_grid_label(spark, d):
+    box = geometry.box()
+    return views.tag_sheet(spark, d).select("rev", *TRUE, text.grid_label(*box).alias("grid"), text.grid_label(*box, letters_down=False, approximate=False).alias("grid_across"))
+
+
+@query
+def limits_check(spark, d):
+    lines = views.document_lines(spark, d).withColumn("page", F.floor((F.col("line_no") - 1) / 50))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "raw_text")))["raw_text"], "\n").alias("page_text"))
+    return elements.limits(lines, pages, "doc_id", {"pages": 2, "page_elements": 40, "elements": 60, "element_chars": 2000, "chars": 8000})
+
+
+@query
+def vector_grid_clusters(spark, d):
+    return elements.vector_clusters(views.tag_sheet(spark, d).filter("rev = 'A'"), "page_number", cell=0.25, fewest=2, least_area=0.002, most=3)
+
+
+@query
+def format_routing(spark, d):
+    count = lambda tag: F.regexp_count("html", F.lit(tag))
+    own = views.read(spark, d, "pages").select("page_id", "url", "html", F.length(F.regexp_replace("html", "<[^>]*>", "")).alias("text_chars"), count("<p").alias("vectors"), count('class="ad"').alias("images"))
+    own = own.withColumn("image_coverage", detect.coverage(F.col("images"), F.col("text_chars")))
+    return own.select("page_id", detect.family(F.col("html"), F.col("url"), F.length("html")).alias("family"), "text_chars", "vectors", "image_coverage", detect.pdf_route(F.col("text_chars"), F.col("vectors"), F.col("image_coverage")).alias("route"))
+
+
+# geometry
+
+
+@query
+def bbox_iou_containment(spark, d):
+    a, b = geometry.box(suffix="_a"), geometry.box(suffix="_b")
+    return true_pairs(spark, d).select(*TRUE, geometry.iou(a, b).alias("iou"), geometry.containment(a, b).alias("containment"), geometry.distance(a, b).alias("distance"))
+
+
+@query
+def bbox_affine_hull(spark, d):
+    hull = geometry.affine(geometry.box(), SHIFT)
+    return views.tag_sheet(spark, d).select("rev", *TRUE, *[v.alias(n) for v, n in zip(hull, ("hx0", "hy0", "hx1", "hy1"))])
+
+
+# recognised words
+
+
+@query
+def gap_split_lines(spark, d):
+    words = views.tag_sheet(spark, d).filter("rev = 'A'")
+    return ocr.split_at_gaps(words, PAGE, F.lit(0.035), ["seq"]).select(*TRUE, "line_no")
+
+
+@query
+def ocr_conf_filter(spark, d):
+    words = views.read(spark, d, "events").select("user_id", F.col("event_type").alias("text"), F.pmod("value", F.lit(100.0)).alias("confidence"))
+    sure = ocr.confident(words)
+    exact = F.sum(F.col("confidence").cast("decimal(18,9)"))
+    return sure.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_words"), (exact.cast("double") / F.count(F.lit(1))).alias("mean_confidence"))
+
+
+@query
+def ocr_rows(spark, d):
+    words = views.tag_sheet(spark, d).filter("rev = 'A'").select(*TRUE, F.col("raw_text").alias("text"), F.lit(1.0).alias("confidence"), "x0", "y0", "x1", "y1")
+    split = ocr.split_at_gaps(ocr.rows(words, PAGE), [*PAGE, "row_no"], F.lit(0.035), ["seq"])
+    return ocr.lines(split, [*PAGE, "row_no"], ["seq"])
+
+
+# pairs of revisions
+
+
+def _pair_signatures(spark, d):
+    pairs = views.document_pairs(spark, d)
+    one = lambda s: pairs.select(F.col("doc_a").alias("pair"), F.col(f"doc_{s}").alias("doc"), text.normalise(F.col(f"text_{s}")).alias("normalized_text"))
+
+    def named(s):
+        own = one(s).withColumn("identifiers", text.identifiers(F.col("normalized_text")))
+        own = own.withColumn("kind", text.kind(F.col("normalized_text"), F.col("identifiers")))
+        signed = pairing.signature(own, "pair")
+        return signed.select(F.col("pair").alias("doc_a"), F.col("tokens").alias(f"tokens_{s}"), F.col("equipment").alias(f"equipment_{s}"))
+
+    return pairs.join(named("a"), "doc_a").join(named("b"), "doc_a").withColumns({"underlying_a": F.col("source_a"), "underlying_b": F.col("source_b"), "title_a": F.col("text_a"), "title_b": F.col("text_b")})
+
+
+@query
+def pair_compat(spark, d):
+    out = pairing.enforce(pairing.assess(_pair_signatures(spark, d)))
+    return out.select("doc_a", "doc_b", "token_overlap", "title_overlap", "score", "compatible", F.array_join("reasons", "; ").alias("reasons"), "action")
+
+
+@query
+def page_similarity(spark, d):
+    side = lambda s: [F.col(f"source_{s}").alias(f"sheet_id_{s}"), F.lit(1).alias(f"page_number_{s}"), F.lit(1191.0).alias(f"width_{s}"), F.lit(842.0).alias(f"height_{s}"), F.substring(f"text_{s}", 1, 62).alias(f"page_text_{s}")]
+    return pairing.page_similarity(views.document_pairs(spark, d).select("doc_a", "doc_b", *side("a"), *side("b"))).select("doc_a", "doc_b", "similarity")
+
+
+@query
+def page_align(spark, d):
+    pairs = views.document_pairs(spark, d)
+
+    def pages(s):
+        cut = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length(f"text_{s}") / 800)), lambda k: F.substring(F.col(f"text_{s}"), (k * 800 + 1).cast("int"), F.lit(800)))).alias("k", "page_text")
+        own = pairs.select("doc_a", "doc_b", F.col(f"source_{s}").alias(f"sheet_id_{s}"), cut)
+        return own.select("doc_a", "doc_b", f"sheet_id_{s}", (F.col("k") + 1).alias(f"page_number_{s}"), F.lit(1191.0).alias(f"width_{s}"), F.lit(842.0).alias(f"height_{s}"), F.col("page_text").alias(f"page_text_{s}"))
+
+    scored = pairing.page_similarity(pages("a").join(pages("b"), ["doc_a", "doc_b"]))
+    return pairing.align(scored.select("doc_a", "doc_b", F.col("page_number_a").alias("page_a"), F.col("page_number_b").alias("page_b"), "similarity"), ["doc_a", "doc_b"])
+
+
+# matching and changes
+
+
+@query
+def match_candidates(spark, d):
+    return matching.candidates(*revisions(spark, d), PAGE).select(*PAGE, "element_id_a", "element_id_b")
+
+
+@query
+def pair_scores(spark, d):
+    return matching.scored(matching.candidates(*revisions(spark, d), PAGE)).select(*PAGE, "element_id_a", "element_id_b", "identifier", "text", "spatial", "type", "geometry", "score")
+
+
+@query
+def assignment(spark, d):
+    return matching.assigned(matching.scored(matching.candidates(*revisions(spark, d), PAGE)), PAGE).select(*PAGE, "element_id_a", "element_id_b", "score")
+
+
+@query
+def delta_changes(spark, d):
+    return changes.compare(*revisions(spark, d), PAGE, A, B)
+
+
+@query
+def page_work(spark, d):
+    return matching.page_work(*revisions(spark, d), PAGE, 30)
+
+
+@query
+def page_level_changes(spark, d):
+    return changes.page_changes(*revisions(spark, d), PAGE, A, B).select(*PAGE, "change_type", "description", "delta_item_id")
+
+
+@query
+def kind_compat(spark, d):
+    return true_pairs(spark, d).select(*TRUE, matching.kind_compatibility(F.col("kind_a"), F.col("kind_b")).alias("compatibility"))
+
+
+@query
+def classify_truth(spark, d):
+    pairs = matching.scored(true_pairs(spark, d))
+    kind = changes.change_type(F.col("normalized_text_a"), F.col("normalized_text_b"), F.col("distance"), F.col("text"), F.col("geometry"))
+    return pairs.select(*TRUE, kind.alias("change_type"))
+
+
+@query
+def unmatched_anti(spark, d):
+    a, b = revisions(spark, d)
+    gone = a.join(b.select(*TRUE), TRUE, "left_anti").select(*TRUE, F.lit("removed").alias("change_type"))
+    return gone.union(b.join(a.select(*TRUE), TRUE, "left_anti").select(*TRUE, F.lit("added").alias("change_type")))
+
+
+@query
+def confidence_bands(spark, d):
+    return true_changes(spark, d).select(*TRUE, "change_type", F.round("confidence", 6).alias("confidence"), "confidence_band", "review_required")
+
+
+@query
+def change_descriptions(spark, d):
+    return true_changes(spark, d).select(*TRUE, "description", "delta_item_id")
+
+
+@query
+def change_summary(spark, d):
+    return changes.summary(true_changes(spark, d))
+
+
+@query
+def noise_filter(spark, d):
+    labels = ["", "  ", "REV: A", "sheet: 2", "C", "z", "7", "12", "HH 245", "rev:b", "I", "NOTE 1"]
+    literals = spark.createDataFrame([(x,) for x in labels], "raw_text string")
+    rows = views.tag_sheet(spark, d).select("raw_text").union(literals)
+    return rows.groupBy("raw_text").agg(F.count(F.lit(1)).alias("n")).withColumn("noise", text.is_noise(F.col("raw_text")))
+
+
+@query
+def change_order(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("page_number").orderBy("y0", "x0", "entity_type", "delta_item_id")
+    return true_changes(spark, d).select("page_number", "delta_item_id", F.row_number().over(order).alias("position"))
+
+
+@query
+def delta_fingerprint(spark, d):
+    return changes.fingerprint(true_changes(spark, d), A, B, "8231ef4b4c0c1391", "page_number")
+
+
+@query
+def residual_explained(spark, d):
+    a, b = revisions(spark, d)
+    return residual.unexplained(a.select(*TRUE, *residual.BOX), b.select("page_number", *residual.BOX), PAGE).select(*TRUE)
+
+
+@query
+def residual_nms(spark, d):
+    rows = views.tag_sheet(spark, d).withColumns({"change_type": F.when(F.col("rev") == "A", "removed").otherwise("added"), "area": F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * 1e6 + F.col("seq")).cast("long")})
+    return residual.reported(rows, PAGE)
+
+
+@query
+def nearby_identifiers(spark, d):
+    a, b = revisions(spark, d)
+    asked = b.select("page_number", F.col("seq").alias("change_id"), "x0", "y0", "x1", "y1")
+    return retrieval.nearby_identifiers(asked, a, PAGE).select("page_number", "change_id", F.array_join("nearby", ",").alias("nearby"))
+
+
+@query
+def ui_filter_page(spark, d):
+    haystack = F.lower(F.concat_ws(" ", "delta_item_id", "change_type", "entity_type", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), "description"))
+    found = true_changes(spark, d).filter(F.col("change_type").isin("added", "modified") & F.col("confidence_band").isin("high", "medium") & haystack.contains("note"))
+    return found.orderBy("page_number", "seq", "delta_item_id").offset(25).limit(25).select("page_number", "seq", "delta_item_id")
+
+
+@query
+def failure_table(spark, d):
+    rows = true_changes(spark, d)
+    low = rows.filter("confidence_band = 'low'").select("page_number", F.lit("low_confidence").alias("failure"))
+    moved = rows.filter("change_type = 'moved_modified'").select("page_number", F.lit("review").alias("failure"))
+    gone = rows.filter("change_type = 'removed'").select("page_number", F.lit("false_negative").alias("failure"))
+    return low.union(moved).union(gone).groupBy("page_number", "failure").agg(F.count(F.lit(1)).alias("n"))
+
+
+# records and retrieval
+
+
+@query
+def records_union(spark, d):
+    a, b = revisions(spark, d)
+    pages = lambda rows: rows.groupBy("page_number").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "normalized_text")))["normalized_text"], "\n").alias("page_text"))
+    both = retrieval.records(a, pages(a), "rev_a").unionByName(retrieval.records(b, pages(b), "rev_b"))
+    return both.groupBy("source_family", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("n_ids"), F.sum(F.length("text")).alias("chars"), F.sum(F.size("identifiers")).alias("n_identifiers"))
+
+
+@query
+def tfidf_word(spark, d):
+    return similar(spark, d, retrieval.word_grams)
+
+
+@query
+def tfidf_char(spark, d):
+    return similar(spark, d, retrieval.char_grams)
+
+
+@query
+def rrf_fusion(spark, d):
+    lists = [retrieval.ranked(similar(spark, d, g), "qid", "item_id") for g in (retrieval.word_grams, retrieval.char_grams)]
+    best = retrieval.top(retrieval.fused(lists, "qid", "item_id", exact=None), "qid", "item_id")
+    return best.select("qid", "item_id", F.round("score", 9).alias("score"), "position")
+
+
+@query
+def exact_tags(spark, d):
+    a, _ = revisions(spark, d)
+    asked = a.filter("kind = 'instrument_tag'").select("page_number", F.col("seq").alias("asked"), text.query_tags(F.concat(F.lit("what changed near "), F.col("normalized_text"))).alias("tags"))
+    hits = asked.join(a.select("page_number", "seq", "identifiers", "normalized_text"), "page_number").filter(retrieval.exact_hit(F.col("tags"), F.col("identifiers"), F.col("normalized_text")))
+    return hits.select("page_number", "asked", "seq")
+
+
+@query
+def proximity_boost(spark, d):
+    a, b = revisions(spark, d)
+    cx, cy = geometry.centre(geometry.box())
+    anchors = a.filter("kind = 'instrument_tag'").select("page_number", cx.alias("ax"), cy.alias("ay"))
+    rows = retrieval.nearest_anchor(b.select("page_number", F.col("seq").alias("source_id"), "x0", "y0", "x1", "y1"), anchors, PAGE)
+    return rows.select("page_number", "source_id", F.coalesce(retrieval.boost(F.col("nearest")), F.lit(0.0)).alias("boost"))
+
+
+# answers
+
+
+@query
+def route_questions(spark, d):
+    routed = questions(spark, d).select("qid", text.route(F.col("text")).alias("r"))
+    return routed.select("qid", "r.intent", F.array_join("r.families", ",").alias("families"), "r.proximity")
+
+
+@query
+def scope_check(spark, d):
+    asked = ["what is the duty value in revision C?", "between the revisions", "in rev A", "rev: 2 of the note", "revision B or rev Z9", "REV-D please"]
+    literals = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(asked)], "qid long, text string")
+    return questions(spark, d).union(literals).select("qid", text.out_of_scope_revision(F.col("text"), F.array(A, B)).alias("asked_revision"))
+
+
+@query
+def deterministic_routes(spark, d):
+    asked = ["show D-12AB", "how many items were added?", "list high-confidence changes", "what changed?"]
+    literals = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(asked)], "qid long, text string")
+    return questions(spark, d).union(literals).select("qid", answers.deterministic_route(F.col("text")).alias("route"))
+
+
+@query
+def support_score(spark, d):
+    found = evidence(spark, d).groupBy("qid", "question").agg(F.max("similarity").alias("top"), F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], " ").alias("blob"))
+    score = answers.support_score(F.col("question"), F.col("top"), F.lower("blob"))
+    return found.select("qid", F.round(score, 6).alias("support"), answers.weak(F.lit(1), score, F.col("top")).alias("weak"))
+
+
+@query
+def extractive_rank(spark, d):
+    rows = evidence(spark, d).select("qid", "question", F.concat(F.lit("B:p1:"), F.col("item_id")).alias("source_id"), "text", F.col("rank").alias("position"))
+    return answers.extracted(rows, "qid").select("qid", "source_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def citation_support(spark, d):
+    rows = evidence(spark, d).withColumn("source_id", F.col("item_id").cast("string"))
+    cited = rows.select("qid", F.col("question").alias("answer"), F.when(F.col("rank") == 2, "?").otherwise(F.col("source_id")).alias("source_id"))
+    return answers.validated(cited, rows.select("qid", "source_id", F.col("text").alias("quote")), "qid")
+
+
+@query
+def fact_match(spark, d):
+    cases = [("250", "duty 12500"), ("12.5", "112.5"), ("250", "changed to 250."), ("NOTE 12", "see NOTE12"), ("", "x"), ("12", "12,500"), ("12.5", "12.5, ok"), ("HH 250", "hh  250 set")]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(cases)], "id long, fact string, body string")
+    sheet_ = views.tag_sheet(spark, d).filter("rev = 'A'").select((F.col("page_number") * 100 + F.col("seq") + 1000).alias("id"), F.col("seq").cast("string").alias("fact"), F.col("raw_text").alias("body"))
+    return rows.union(sheet_).select("id", text.fact_present(F.col("fact"), F.col("body")).alias("present"))
+
+
+# evaluation
+
+
+def _predicted(spark, d):
+    """Change types as classified and as they were made, of each pair and of each element left over."""
+    names = F.element_at(F.create_map(*[x for k, v in enumerate(("removed", "added", "modified", "moved", "moved_modified")) for x in (F.lit(k), F.lit(v))]), F.col("edit"))
+    truth = views.tag_sheet(spark, d).groupBy(*TRUE).agg(F.max("edit").alias("edit")).select(*TRUE, F.when(F.col("edit") < 5, names).alias("truth"))
+    found = true_changes(spark, d).select(*TRUE, F.col("change_type").alias("found"))
+    return truth.join(found, TRUE, "left")
+
+
+@query
+def gt_prf(spark, d):
+    rows = _predicted(spark, d)
+    hit = F.col("truth").eqNullSafe(F.col("found"))
+    counts = rows.groupBy("page_number").agg(F.count_if(hit & F.col("truth").isNotNull()).alias("tp"), F.count_if(~hit & F.col("found").isNotNull()).alias("fp"), F.count_if(~hit & F.col("truth").isNotNull()).alias("fn"))
+    return evaluation.precision_recall(counts)
+
+
+@query
+def micro_f1(spark, d):
+    return evaluation.micro(gt_prf(spark, d)).select("tp", "fp", "fn", "precision", "recall", "f1")
+
+
+@query
+def truth_matching(spark, d):
+    """Predictions of a page against the page's known edits."""
+    boxes = [F.col(c).alias(f"p_{c}") for c in residual.BOX]
+    found = true_changes(spark, d).select("page_number", F.col("delta_item_id").alias("p_id"), "change_type", F.col("entity_type").alias("p_entity_type"), F.col("before").alias("p_before"), F.col("after").alias("p_after"), *boxes)
+    a, b = revisions(spark, d)
+    truth = a.filter("edit = 0").withColumns({"change_type": F.lit("removed"), "g_before": F.col("raw_text"), "g_after": F.lit(None).cast("string")}).unionByName(b.filter("edit = 1").withColumns({"change_type": F.lit("added"), "g_before": F.lit(None).cast("string"), "g_after": F.col("raw_text")}))
+    truth = truth.select("page_number", F.col("seq").alias("g_id"), "change_type", F.col("kind").alias("g_entity_type"), "g_before", "g_after", *[F.col(c).alias(f"g_{c}") for c in residual.BOX])
+    return evaluation.truth_matches(evaluation.truth_score(found.join(truth, ["page_number", "change_type"])), "page_number")
+
+
+@query
+def latency_percentiles(spark, d):
+    return evaluation.percentiles(views.read(spark, d, "events"), "event_type", "value")
+
+
+@query
+def end_to_end_latency(spark, d):
+    runs = views.read(spark, d, "events").select("user_id", F.col("value").cast("decimal(18,6)").alias("value"))
+    return evaluation.end_to_end(runs, "user_id", "value").select("sample_size", *[F.col(c).cast("double").alias(c) for c in ("p50_ms", "p95_ms", "max_ms")])
+
+
+@query
+def budget_overruns(spark, d):
+    budgets = spark.createDataFrame([("click", 50.0), ("view", 100000.0), ("purchase", 60.0), ("error", 20.0)], "event_type string, budget_p95_ms double")
+    return evaluation.overruns(latency_percentiles(spark, d), budgets, "event_type")
+
+
+@query
+def token_cost_rollup(spark, d):
+    calls = views.read(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,6)")).alias("cost"))
+    return evaluation.model_usage(calls, "event_type").withColumn("total_cost", F.col("total_cost").cast("double"))
+
+
+@query
+def scorecard_compare(spark, d):
+    rows = views.read(spark, d, "events")
+    half = F.when(F.col("event_id") % 2 == 0, "baseline").otherwise("current")
+    values = rows.withColumn("half", half).groupBy("half", F.col("event_type").alias("metric")).agg((F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("value"))
+    side = lambda name: values.filter(F.col("half") == name).select("metric", "value")
+    tolerances = spark.createDataFrame([("click", 0.5), ("view", 0.0), ("purchase", 0.1), ("signup", 2.0), ("error", 0.05), ("never", 0.1)], "metric string, tolerance double")
+    return evaluation.compared(side("baseline"), side("current").filter("metric <> 'signup'"), tolerances)
+
+
+@query
+def judge_means(spark, d):
+    return views.read(spark, d, "labels").agg(F.avg("quality").alias("fact_accuracy"), F.avg("toxic").alias("refusal_rate"), F.every(F.col("quality") >= 0).alias("all_gates"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def errors_by_type(spark, d):
+    rows = views.read(spark, d, "events").filter("event_type = 'error'").withColumn("error_type", F.concat(F.lit("E"), F.get_json_object("props", "$.k")))
+    return observability.errors_by_type(rows, "error_type")
+
+
+@query
+def last_stage_latency(spark, d):
+    spans = views.read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), F.struct("ts", "event_id").alias("start"), F.col("value").alias("duration_ms"))
+    return observability.last_latency(spans, "run", "stage")
+
+
+# texts
+
+
+@query
+def html_escape(spark, d):
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 0)
+    return views.read(spark, d, "pages").select("page_id", text.escape_html(title).alias("escaped"))
+
+
+@query
+def hash_redaction(spark, d):
+    return observability.without_content(views.read(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "text")
+
+
+@query
+def request_ids(spark, d):
+    rows = views.read(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("id")).union(spark.createDataFrame([("../etc/passwd",), ("a/b",), ("",), (" ok-1 ",), ("x" * 65,)], "id string"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("valid", text.valid_request_id(F.col("id")))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}
