@@ -127,8 +127,8 @@ def one_sided_changes(elements: DataFrame, key: list[str], kind: str, pid_a: Col
 def compare(a: DataFrame, b: DataFrame, key: list[str], pid_a: Column, pid_b: Column) -> DataFrame:
     """All changes between the elements of two revisions, page by page: of pages, of matches, removed, added."""
     pages = lambda rows: rows.select(*key).distinct()
+    matches = assigned(scored(candidates(a, b, key)), key)
     ours, theirs = a.join(pages(b), key, "left_semi"), b.join(pages(a), key, "left_semi")
-    matches = assigned(scored(candidates(ours, theirs, key)), key)
     parts = (
         matched_changes(matches, key, pid_a, pid_b),
         one_sided_changes(unmatched(ours, matches, key, "a"), key, "removed", pid_a, pid_b),

@@ -51,22 +51,22 @@ def sides(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFr
 def candidates(a: DataFrame, b: DataFrame, key: list[str], radius: float = CANDIDATE_RADII * SPATIAL_RADIUS) -> DataFrame:
     """Pairs of one page whose centres are within radius or that share an identifier.
 
-    Two equi-joins: on grid cells of the radius's size, where one side stands in the cells around it too, and on
-    identifiers. A pair that both find, or that shares several identifiers, is taken once: by the grid if it is near.
+    One equi-join on (page, name): the names of an element are the grid cell of its centre, where one side also has
+    the cells around it, and its identifiers. A pair that several names join is taken once: by its cell if it is
+    near, else by the first identifier that both have.
     """
     one, two = sides(a, b, key)
     box_a, box_b = geometry.box(suffix="_a"), geometry.box(suffix="_b")
-    cell = lambda v, shift=0: (F.floor(v / radius) + shift).cast("int")
-    (ax, ay), (bx, by) = geometry.centre(box_a), geometry.centre(box_b)
-    around = F.array(*[F.struct(cell(ax, i).alias("cx"), cell(ay, j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = one.withColumn("_c", F.explode(around)).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
-    near = spread.join(two.withColumns({"_cx": cell(bx), "_cy": cell(by)}), [*key, "_cx", "_cy"]).drop("_cx", "_cy")
-    near = near.filter(geometry.distance(box_a, box_b) <= radius)
+    cell = lambda v, shift=0: (F.floor(v / radius) + shift).cast("string")
+    grid = lambda at, i=0, j=0: F.concat(F.lit("cell "), cell(at[0], i), F.lit(" "), cell(at[1], j))
     upper = lambda c: F.array_distinct(F.transform(F.col(c), F.upper))
-    by_id = one.withColumn("_id", F.explode(upper("identifiers_a"))).join(two.withColumn("_id", F.explode(upper("identifiers_b"))), [*key, "_id"])
+    around = F.array(*[grid(geometry.centre(box_a), i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = one.withColumn("_name", F.explode(F.concat(around, upper("identifiers_a"))))
+    right = two.withColumn("_name", F.explode(F.concat(F.array(grid(geometry.centre(box_b))), upper("identifiers_b"))))
+    met = left.join(right, [*key, "_name"])
+    near, by_cell = geometry.distance(box_a, box_b) <= radius, F.col("_name").startswith("cell ")
     first = F.get(F.array_intersect(upper("identifiers_a"), upper("identifiers_b")), F.lit(0))
-    by_id = by_id.filter((F.col("_id") == first) & (geometry.distance(box_a, box_b) > radius)).drop("_id")
-    return near.unionByName(by_id)
+    return met.filter((near & by_cell) | (~near & ~by_cell & (F.col("_name") == first))).drop("_name")
 
 
 def scored(pairs: DataFrame, weights: dict[str, float] | None = None, matrix: list[float] | None = None) -> DataFrame:
