@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Edges of a task: a few dozen megabytes.
+TASK = 400_000
+
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A forest with the edges' components: (v, root) for each vertex of the partition but the roots."""
@@ -32,15 +35,20 @@ def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task: int = TASK) -> DataFrame:
     """(id, component): each vertex of edges (a, b), longs, with the smallest vertex that it reaches.
 
-    Each round joins a partition's edges by union-find into stars, then links each vertex's neighbours to the
+    Tasks of about ``task`` edges each find their own components; if one task has all edges, those are the answer. Else
+    each round joins a partition's edges by union-find into stars, then links each vertex's neighbours to the
     smallest of them; it ends when every vertex has one neighbour that is smaller, its component's root.
     """
-    near = written(edges.select("a", "b").filter("a <> b").mapInPandas(_roots, "a long, b long").distinct(), "stars")
-    while True:
-        # a > b here: b is a smaller vertex of a's component; one that is a root of nothing else has a alone on its left
+    tasks = -(-edges.count() // task)
+    own = edges.select("a", "b").filter("a <> b").coalesce(max(1, tasks)).mapInPandas(_roots, "a long, b long")
+    if tasks <= 1:
+        near = written(own, "stars")
+        return near.select(F.col("a").alias("id"), F.col("b").alias("component")).union(near.select("b", "b").distinct())
+    near = written(own.distinct(), "stars")
+    while True:  # b is a smaller vertex of a's component
         least = near.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
         many = least.filter("n > 1").select("a").limit(1).isEmpty()
         chained = near.select("a").join(near.select(F.col("b").alias("a")), "a", "left_semi").limit(1).isEmpty()

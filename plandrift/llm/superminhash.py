@@ -8,10 +8,11 @@ threshold times the union of the two full sets.
 
 Within a bucket the classes stand in an order that differs from band to band, cut into chunks of about CHUNK; each
 is a candidate with its chunk's first, with its successor, and the chunks' first ones with the bucket's. So the
-candidates grow with the number of classes. Each class first meets the candidate that it shares the most buckets
-with; then come the pairs that are still in different components. After that, buckets that hold several components
-are gone through again, for all their pairs across components if they are small, else for each class with the
-leaders of other components, until no round links any more.
+candidates grow with the number of classes. A pair whose signatures agree in less than LIKELY of the places, five
+standard deviations under a similarity of 0.8, is no candidate. Each class first meets its likeliest candidate;
+then come the pairs that are still in different components. After that, buckets that hold several components are
+gone through again, for all their pairs across components if they are small, else for each class with the leaders
+of other components, each turn with other leaders, until a turn links less than one pair in RARE.
 
 Cases: null, empty and white-space texts have no set (n_shingles 0) and are linked with nothing. With fewer words
 than the width, the whole sequence is one shingle. Repeated rows are copies of one another, with one doc_id. Rows
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, portions, shingles_of, words_of, written
+from .common import U64, mix, portions, shingles_of, tidy, words_of, written
 from .components import components
 
 #: At a similarity of 0.8 a pair shares none of 24 bands of 4 values in 3 of a million cases.
@@ -38,6 +39,10 @@ PLACES = BANDS * ROWS
 SMALL, CHUNK = 32, 256
 #: The least similarity of a link, in hundredths.
 PERCENT = 80
+#: Of PLACES, those that two signatures agree in at least, and those of a pair that is all but surely a link.
+LIKELY, SURE = 58, 82
+#: The search ends with a turn that finds less than one link in so many pairs.
+RARE = 200
 
 
 def sets_of(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +100,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -
 
 
 def prepared(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): digest names the set, bands are a hash for each band."""
+    """(doc_id, n_shingles, digest, bands, sketch): digest names the set, bands are a hash for each band, sketch has a byte for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,53 +117,80 @@ def prepared(documents: DataFrame, width: int) -> DataFrame:
                 sums = lambda seed: np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles, seed))])
                 one, two = sums(11), sums(12)
                 digest = np.stack([one[bounds[1:]] - one[bounds[:-1]], two[bounds[1:]] - two[bounds[:-1]]], 1)
-                flat = pa.array(bands.ravel())
+                sketch = (mix(signed, 13) & U64(255)).astype(np.uint8).view(np.int64)
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BANDS, pa.int32()), flat)],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), listed(bands), listed(sketch)],
+                    ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, shared) with a < b and shared buckets counted, of rows (a, m, b, n): two classes and their sets' sizes."""
-    fit = rows.filter((F.col("a") != F.col("b")) & (100 * F.least("m", "n") >= F.lit(PERCENT) * F.greatest("m", "n")))
-    return fit.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+def _agreeing(x, y):
+    """How many bytes of two sketches are equal."""
+    differ = F.lit(0)
+    for k in range(PLACES // 8):
+        z = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        for shift in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(PLACES) - differ
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
+def _pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, likely) with a < b of rows (x, y), two classes (id, n) that may be similar enough."""
+    fit = rows.filter((F.col("x.id") != F.col("y.id")) & (100 * F.least("x.n", "y.n") >= F.lit(PERCENT) * F.greatest("x.n", "y.n")))
+    fit = fit.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    side = lambda me, name: classes.select(F.col("id").alias(me), F.col("sketch").alias(name))
+    both = fit.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.select("a", "b", _agreeing(F.col("x"), F.col("y")).alias("likely")).filter(F.col("likely") >= LIKELY)
+
+
+ME = ("id", "n")
+
+
+def candidates(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes in the buckets (bucket, size, id, n), at most three for each row."""
     ranked = buckets.withColumn("rank", F.xxhash64("bucket", "id"))
     dealt = ranked.withColumn("chunk", F.pmod("rank", F.ceil(F.col("size") / CHUNK)))
     order = Window.partitionBy("bucket", "chunk").orderBy("rank", "id")
-    me = F.struct("id", "n")
-    near = dealt.withColumns({"first": F.first(me).over(order), "before": F.lag(me).over(order)})
-    pair = lambda other: (F.col("id").alias("a"), F.col("n").alias("m"), F.col(f"{other}.id").alias("b"), F.col(f"{other}.n").alias("n"))
-    heads = near.filter(F.col("before").isNull() & (F.col("size") > CHUNK)).select("bucket", "id", "n")
-    tops = heads.groupBy("bucket").agg(F.min(me).alias("top"))
-    return _pairs(near.select(*pair("first")).union(near.select(*pair("before"))).union(heads.join(tops, "bucket").select(*pair("top"))))
+    me = F.struct(*ME)
+    near = dealt.withColumns({"first": F.first(me).over(order), "before": F.lag(me).over(order), "me": me}).select("bucket", "size", "me", "first", "before")
+    heads = near.filter(F.col("before").isNull() & (F.col("size") > CHUNK)).select("bucket", "me")
+    tops = heads.groupBy("bucket").agg(F.min("me").alias("top"))
+    pairs = near.select(F.col("me").alias("x"), F.explode(F.array_compact(F.array("first", "before"))).alias("y"))
+    return _pairs(pairs.union(heads.join(tops, "bucket").select("me", "top")), classes)
+
 
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are the likeliest of a or of b, and each one's with the smallest other of those that are all but SURE."""
+    side = lambda me, other: pairs.select(F.col(me).alias("me"), F.struct("likely", (-F.col(other)).alias("other")).alias("to"), F.when(F.col("likely") >= SURE, F.col(other)).alias("sure"))
+    best = side("a", "b").union(side("b", "a")).groupBy("me").agg((-F.max("to")["other"]).alias("likely"), F.min("sure").alias("sure"))
+    best = best.select("me", F.explode(F.array_compact(F.array("likely", "sure"))).alias("other"))
+    return best.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
-def across(buckets: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    """Pairs of classes in one bucket and in different components, in the order of this turn."""
+
+def across(buckets: DataFrame, classes: DataFrame, component: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes in one bucket and in different components, in the order of this turn."""
     labelled = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("bucket", "component").agg(F.min(F.struct("id", "n")).alias("leader"))
-    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rows = labelled.join(mixed, "bucket")
-    small = rows.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("id", "n", "component")).alias("rows"))
+    parts = labelled.groupBy("bucket", "component").agg(F.min_by(F.struct(*ME), F.xxhash64("id", F.lit(turn))).alias("leader"), F.count(F.lit(1)).alias("members"))
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component")).alias("most")).filter("parts > 1")
+    rows = labelled.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket").withColumn("me", F.struct(*ME))
+    small = rows.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("me", "component")).alias("rows"))
     later = lambda x, k: F.filter(F.slice("rows", k + 2, F.size("rows")), lambda y: y["component"] != x["component"])
-    every = F.flatten(F.transform("rows", lambda x, k: F.transform(later(x, k), lambda y: F.struct(x["id"].alias("a"), x["n"].alias("m"), y["id"].alias("b"), y["n"].alias("n")))))
-    close = small.select(F.explode(every).alias("p")).select("p.*")
+    every = F.flatten(F.transform("rows", lambda x, k: F.transform(later(x, k), lambda y: F.struct(x["me"].alias("x"), y["me"].alias("y")))))
+    close = _pairs(small.select(F.explode(every).alias("p")).select("p.x", "p.y"), classes).select("a", "b")
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("component", F.lit(turn)), "component")
-    led = parts.join(mixed, "bucket").withColumns({"next": F.lead("leader").over(order), "top": F.first("leader").over(order)})
-    led = led.select("bucket", "component", F.array_compact(F.array("next", "top")).alias("others"))
-    far = rows.filter(F.col("size") > SMALL).join(led, ["bucket", "component"]).select(F.col("id").alias("a"), F.col("n").alias("m"), F.explode("others").alias("o"))
-    return _pairs(close.union(far.select("a", "m", "o.id", "o.n")))
+    led = parts.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket")
+    leaders = led.withColumns({"next": F.lead("leader").over(order), "top": F.max_by("leader", F.col("members")).over(Window.partitionBy("bucket"))})
+    others = leaders.filter(F.col("component") != F.col("largest")).select("bucket", "component", F.array_compact(F.array("next", "top")).alias("others"))
+    far = rows.filter((F.col("size") > SMALL) & (F.col("component") != F.col("largest"))).join(others, ["bucket", "component"])
+    return close.union(likeliest(_pairs(far.select(F.col("me").alias("x"), F.explode("others").alias("y")), classes))).distinct()
 
 
-def verified(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. documents: (doc_id, text)."""
+def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, members): the sets of the documents (doc_id, text) in ids (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,10 +200,14 @@ def verified(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
                 shingles, bounds = sets_of(texts[where], width)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.astype(np.int64)))], ["id", "members"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    sets = texts.mapInArrow(run, "id long, members array<long>")
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    texts = documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return texts.mapInArrow(tidy(run), "id long, members array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    side = lambda me, name: sets.join(pairs.select(F.col(me).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(me), F.col("members").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
     return shared.filter(100 * F.col("both") >= PERCENT * (F.col("all") - F.col("both"))).select("a", "b")
 
@@ -180,37 +216,32 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     """For each row of (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that its links reach), kept."""
     documents = documents.select(F.col("doc_id").cast("long"), "text")
     own = written(prepared(documents, width), "prepared")
-    classes = own.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
+    classes = own.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"), F.first(F.struct("bands", "sketch")).alias("s"))
+    classes = written(classes.select("n_shingles", "digest", "id", "s.bands", "s.sketch"), "classes")
     rows = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(rows.join(sizes, "bucket"), "buckets")
-    near = written(candidates(buckets), "candidates")
-    partner = lambda me, other: near.select(F.col(me).alias("me"), F.struct("shared", (-F.col(other)).alias("other")).alias("to"))
-    best = partner("a", "b").union(partner("b", "a")).groupBy("me").agg(F.max("to").alias("to")).select("me", (-F.col("to.other")).alias("other"))
-    tried = written(best.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct(), "tried")
-    links = written(verified(tried, documents, width), "links")
-    component = components(links)
-    turn = 0
-    while True:
-        left = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-        more = across(buckets, component, turn).select("a", "b")
+    near = written(candidates(buckets, classes), "candidates")
+    sets = written(full_sets(documents, buckets.select("id").distinct(), width), "sets")
+    tried = written(likeliest(near), "tried")
+    links = written(verified(tried, sets), "links")
+    component, turn, going = components(links), 0, True
+    while going:
+        more = across(buckets, classes, component, turn)
         if turn == 0:
-            apart = near.join(left("a"), "a", "left").join(left("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+            apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
             more = more.union(apart.select("a", "b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "tried")
-        if more.isEmpty():
-            break
-        found = written(verified(more, documents, width), "links")
+        found = written(verified(more, sets), "links")
+        n = found.count()
+        if n:
+            links = links.union(found)
+            component = components(links)
+        going = n * RARE > more.count()
         tried, turn = tried.union(more), turn + 1
-        if found.isEmpty():
-            if buckets.filter(F.col("size") > SMALL).isEmpty() or turn > 1:
-                break
-            continue
-        links = links.union(found)
-        component = components(links)
     of = classes.join(component, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))
-    grouped = own.filter("n_shingles > 0").drop("bands").join(of, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    grouped = own.filter("n_shingles > 0").drop("bands", "sketch").join(of, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
