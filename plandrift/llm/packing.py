@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Bins that a task keeps open.
 OPEN = 48
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,7 +40,7 @@ class Packer:
 
     def close(self, k: int) -> None:
         at = 0
-        for key, start, length in self.bins[k]:
+        for key, start, length, _ in self.bins[k]:
             self.out.append((key, start, length, self.next, at))
             at += length
         self.next += 1
@@ -46,7 +48,7 @@ class Packer:
         del self.bins[k]
 
     def put(self, k: int, key, start: int, length: int, loss: int) -> None:
-        self.bins[k].append((key, start, length))
+        self.bins[k].append((key, start, length, loss))
         self.room[k] -= (length, 1, loss)
         if (self.room[k] <= 0).any():
             self.close(k)
@@ -71,20 +73,22 @@ class Packer:
             self.add(key, start + most, length - most, min(loss, length - most))
 
     def finish(self) -> None:
-        """Empties the open bins into sequences of a power of two of tokens."""
+        """Empties the open bins into sequences of a power of two of tokens, as far as the other limits allow."""
         rest = [piece for own in self.bins for piece in own]
         self.bins, self.room = [], np.zeros((0, 3))
-        total = sum(p[2] for p in rest)
-        k = 0
+        total, k = sum(p[2] for p in rest), 0
         while total:
-            size = min(int(self.limits[0]), 1 << (total.bit_length() - 1))
+            size, loss_room = min(int(self.limits[0]), 1 << (total.bit_length() - 1)), int(self.limits[2])
             own, at = [], 0
             while at < size and len(own) < self.limits[1]:
-                key, start, length = rest[k]
-                most = min(length, size - at)
-                own.append((key, start, most))
-                at += most
-                rest[k] = (key, start + most, length - most)
+                key, start, length, loss = rest[k]
+                most = min(length, size - at, length - loss + loss_room)
+                if not most:
+                    break
+                bearing = max(0, most - (length - loss))
+                own.append((key, start, most, bearing))
+                at, loss_room = at + most, loss_room - bearing
+                rest[k] = (key, start + most, length - most, loss - bearing)
                 k += most == length
             self.bins, self.room = [own], np.ones((1, 3))
             self.close(0)
@@ -140,7 +144,7 @@ def pack(examples: DataFrame, encode: Callable[[], Callable[[list[str]], list[np
         packer.finish()
         yield rows()
 
-    return examples.select(*columns).mapInPandas(run, PIECES)
+    return examples.select(*columns).mapInPandas(tidy(run), PIECES)
 
 
 def byte_bpe(path: str, library: str = "tiktoken") -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
