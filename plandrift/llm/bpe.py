@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 #: The words that the folded dictionary holds and the bytes of each, at most, and how often one is met at least.
 DICTIONARY, WORD, LEAST = 65536, 24, 4
@@ -155,7 +155,7 @@ def encode(documents: DataFrame, path: str, pattern: str, whole: bool = True) ->
             more = [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())] if whole else []
             yield pa.RecordBatch.from_arrays(out + more, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out + more)])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SUMMARY + ", ids binary, decoded binary" * whole)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SUMMARY + ", ids binary, decoded binary" * whole)
 
 
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 _MULT, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
+#: Rows, whole documents mostly, that a Python worker is sent at once.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -49,11 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _homes[app] = f"{shared_dir(spark)}/plandrift-{uuid.uuid4().hex}"
         atexit.register(_remove_at_exit, spark, _homes[app])
     path = f"{_homes[app]}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    rows = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, min(int(rows), BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
+def portions(texts: list[str | None], most: int = 1 << 18) -> Iterator[slice]:
     """Slices of texts of about ``most`` characters each, so that what is made of one stays small; a longer text is alone."""
     begin = held = 0
     for k, t in enumerate(texts):
@@ -66,6 +78,19 @@ def portions(texts: list[str | None], most: int = 1 << 20) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function from batches to batches, which at its end gives freed memory back: workers are kept for later tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Splitmix64's finaliser over uint64, for each seed another bijection."""
     x = x + U64(((seed + 1) * _MULT) & 0xFFFFFFFFFFFFFFFF)

@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, portions
+from .common import U64, portions, tidy
 
 HASH_BITS, DIMENSION, GRAMS = 16, 16, (2, 4)
 #: Labelled rows to fit on, at most.
 MAX_FIT = 2500
-EPOCHS, RATE = 4, 0.5
+#: Passes over them, more where they are few, so that there are STEPS at least.
+EPOCHS, STEPS, RATE = 4, 2500, 0.5
 UNKNOWN = "und"
 
 
@@ -96,8 +97,9 @@ def train(texts: list[str], labels: list[str], reject: float = 0.001, seed: int
     vectors = rng.normal(0, 0.1, (1 << HASH_BITS, DIMENSION))
     head, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
     fitted = [k for k in range(len(rows)) if k % 5 != 4 and len(rows[k])]
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(fitted))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(fitted):
             own = rows[k]
             mean = vectors[own].mean(axis=0)
@@ -137,7 +139,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": named, "score": score, "rejected": [x == UNKNOWN or s < own.least for x, s in zip(named, score)]})
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return documents.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return documents.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")).mapInPandas(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(documents: DataFrame, model: Model) -> DataFrame:
@@ -150,4 +152,4 @@ def accepted(documents: DataFrame, model: Model) -> DataFrame:
             named, score = own.predict(batch["text"].where(batch["text"].notna(), None).tolist())
             yield batch[[x != UNKNOWN and s >= own.least for x, s in zip(named, score)]]
 
-    return documents.mapInPandas(run, schema)
+    return documents.mapInPandas(tidy(run), schema)

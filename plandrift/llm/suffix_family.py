@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, gram_hashes
-from .common import portions, written
+from .common import portions, tidy, written
 
 LENGTH, GRAM = 400, 100
 #: Bytes that a match can reach before a gram, and from its start.
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
 #: Suffixes of a batch; of a task, about.
-BATCH, TASK = 8192, 30000
-#: Suffixes of grams that are compared at once where neighbours don't settle them.
-TOGETHER = 4096
+BATCH, TASK = 4096, 16000
+#: Suffixes of grams that are compared at once where neighbours don't settle them, and hashes of windows held for it.
+TOGETHER, HELD = 4096, 2_000_000
 
 
 def flat_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +187,31 @@ class Family:
                     self._compare(rows[begin:end], int(least[rows[begin:end]].min()), int(most[rows[begin:end]].max()))
                 begin = end
 
+    def _windows(self, rows: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Hashes of the windows that start low to high bytes before each row's gram, in that order."""
+        out = np.empty((len(rows), high - low + 1), np.uint64)
+        for k in range(0, len(rows), 256):
+            part = self.bytes[rows[k : k + 256]]
+            own = np.zeros(part.size, np.uint64)
+            hashes = gram_hashes(part.ravel(), LENGTH)
+            own[: len(hashes)] = hashes
+            out[k : k + 256] = own.reshape(len(part), -1)[:, LEFT - high : LEFT - low + 1][:, ::-1]
+        return out
+
     def _compare(self, rows: np.ndarray, low: int, high: int) -> None:
-        wide = self.bytes[rows]
-        hashes = gram_hashes(wide.ravel(), LENGTH)
-        for at in range(max(low, 0), high + 1):
-            own = np.flatnonzero((self.before[rows] >= at) & (self.after[rows] >= LENGTH - at))
-            if len(own) < 2:
-                continue
-            h = hashes[own * (LEFT + RIGHT) + LEFT - at]
-            order = np.lexsort((h, self.keys[rows[own]]))
-            h, k = h[order], self.keys[rows[own]][order]
-            twin = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] == k[:-1]))
-            found = rows[own[order[np.unique(np.concatenate([twin, twin + 1]))]]]
-            self.most[found] = np.maximum(self.most[found], at)
-            self.least[found] = np.minimum(self.least[found], at)
+        low, step = max(low, 0), max(1, HELD // len(rows))
+        for first in range(low, high + 1, step):
+            hashes = self._windows(rows, first, min(high, first + step - 1))
+            for at, column in enumerate(hashes.T, first):
+                own = np.flatnonzero((self.before[rows] >= at) & (self.after[rows] >= LENGTH - at))
+                if len(own) < 2:
+                    continue
+                order = np.lexsort((column[own], self.keys[rows[own]]))
+                h, k = column[own][order], self.keys[rows[own]][order]
+                twin = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] == k[:-1]))
+                found = rows[own[order[np.unique(np.concatenate([twin, twin + 1]))]]]
+                self.most[found] = np.maximum(self.most[found], at)
+                self.least[found] = np.minimum(self.least[found], at)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +266,7 @@ def remove_repeats(documents: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of (doc_id, text); whole: also kept, the bytes that stay (null: all)."""
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    found = texts.select("row", "text").mapInArrow(_anchored, "row long, n_bytes long, sha256 string, ats array<int>, keys array<long>, runs array<struct<start:int,end:int>>")
+    found = texts.select("row", "text").mapInArrow(tidy(_anchored), "row long, n_bytes long, sha256 string, ats array<int>, keys array<long>, runs array<struct<start:int,end:int>>")
     found = written(found, "anchors")
     suffixes = found.select("row", F.explode(F.arrays_zip("ats", "keys")).alias("x")).select("row", "x.ats", "x.keys")
     twice = suffixes.groupBy("keys").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("keys")
@@ -263,12 +274,12 @@ def remove_repeats(documents: DataFrame, whole: bool = True) -> DataFrame:
     runs = found.filter(F.size("runs") > 0).select("row", "runs").dropDuplicates(["row"])
     wanted = both.join(runs, "row", "full").select("row", F.col("x.ats").alias("ats"), F.col("x.keys").alias("keys"), "runs")
     held = written(texts.select("row", "text").join(wanted, "row"), "held")
-    contexts = held.filter("ats IS NOT NULL").select("row", "text", "ats", "keys").mapInArrow(_contexts, "key long, row long, at int, before int, context binary")
+    contexts = held.filter("ats IS NOT NULL").select("row", "text", "ats", "keys").mapInArrow(tidy(_contexts), "key long, row long, at int, before int, context binary")
     tasks = max(partitions, held.agg(F.sum(F.size("ats"))).first()[0] // TASK if not held.isEmpty() else 1)
-    spans = contexts.repartition(tasks, "key").mapInArrow(_repeats, "row long, start int, end int")
+    spans = contexts.repartition(tasks, "key").mapInArrow(tidy(_repeats), "row long, start int, end int")
     inside = held.filter("runs IS NOT NULL").select("row", F.explode("runs").alias("r")).select("row", "r.start", "r.end")
     spans = spans.union(inside).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     columns = "row long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = held.select("row", "text").dropDuplicates(["row"]).join(spans, "row").mapInArrow(_removed, columns)
+    cut = held.select("row", "text").dropDuplicates(["row"]).join(spans, "row").mapInArrow(tidy(_removed), columns)
     out = texts.select("doc_id", "row").join(found.select("row", "n_bytes", "sha256").dropDuplicates(["row"]), "row").join(cut if whole else cut.drop("kept"), "row", "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *["kept"] * whole)
