@@ -14,9 +14,15 @@ from .sources import detect, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+
+
+def names() -> list:
+    """The two revisions' ids."""
+    return [F.lit("A"), F.lit("B")]
+
+
 PAGE, TRUE = ["page_number"], ["page_number", "seq"]
 SHIFT = [1.01, 0.002, 0.003, -0.002, 0.99, 0.004]
-A, B = F.lit("A"), F.lit("B")
 
 
 def query(f: Query) -> Query:
@@ -42,9 +48,9 @@ def true_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes of the pairs that are known to belong together, and of the rest."""
     a, b = revisions(spark, d)
     pairs = matching.scored(true_pairs(spark, d))
-    parts = changes.matched_changes(pairs, ["seq", *PAGE], A, B)
-    gone = changes.one_sided_changes(a.join(b.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "removed", A, B)
-    new = changes.one_sided_changes(b.join(a.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "added", A, B)
+    parts = changes.matched_changes(pairs, ["seq", *PAGE], *names())
+    gone = changes.one_sided_changes(a.join(b.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "removed", *names())
+    new = changes.one_sided_changes(b.join(a.select(*TRUE), TRUE, "left_anti"), ["seq", *PAGE], "added", *names())
     return parts.unionByName(gone).unionByName(new)
 
 
@@ -218,7 +224,7 @@ def assignment(spark, d):
 
 @query
 def delta_changes(spark, d):
-    return changes.compare(*revisions(spark, d), PAGE, A, B)
+    return changes.compare(*revisions(spark, d), PAGE, *names())
 
 
 @query
@@ -228,7 +234,7 @@ def page_work(spark, d):
 
 @query
 def page_level_changes(spark, d):
-    return changes.page_changes(*revisions(spark, d), PAGE, A, B).select(*PAGE, "change_type", "description", "delta_item_id")
+    return changes.page_changes(*revisions(spark, d), PAGE, *names()).select(*PAGE, "change_type", "description", "delta_item_id")
 
 
 @query
@@ -283,7 +289,7 @@ def change_order(spark, d):
 
 @query
 def delta_fingerprint(spark, d):
-    return changes.fingerprint(true_changes(spark, d), A, B, "8231ef4b4c0c1391", "page_number")
+    return changes.fingerprint(true_changes(spark, d), *names(), "8231ef4b4c0c1391", "page_number")
 
 
 @query
@@ -379,7 +385,7 @@ def route_questions(spark, d):
 def scope_check(spark, d):
     asked = ["what is the duty value in revision C?", "between the revisions", "in rev A", "rev: 2 of the note", "revision B or rev Z9", "REV-D please"]
     literals = spark.createDataFrame([(-1 - k, x) for k, x in enumerate(asked)], "qid long, text string")
-    return questions(spark, d).union(literals).select("qid", text.out_of_scope_revision(F.col("text"), F.array(A, B)).alias("asked_revision"))
+    return questions(spark, d).union(literals).select("qid", text.out_of_scope_revision(F.col("text"), F.array(*names())).alias("asked_revision"))
 
 
 @query

@@ -1,7 +1,7 @@
 """Default settings, as one place to look them up. All are parameters of what uses them."""
 
 # Ceilings on a revision
-DEFAULTS = {"pages": 20, "page_elements": 3000, "elements": 20000, "element_chars": 20000, "chars": 2000000}
+DEFAULTS = {"pages": 20, "page_elements": 3000, "elements": 20000, "element_chars": 20000, "chars": 2000000, "file_bytes": 104857600}
 #: Weights of a pair's score; neighbor stays at 0 as nothing names neighbours.
 WEIGHTS = {"identifier": 0.32, "text": 0.24, "spatial": 0.22, "type": 0.12, "neighbor": 0.0, "geometry": 0.10}
 SPATIAL_RADIUS, CANDIDATE_RADII, MIN_MATCH_SCORE, MOVE_TOLERANCE = 0.12, 2.5, 0.42, 0.018

@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -38,7 +39,9 @@ def canonical(frame):
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        return f"{v:.9g}" if isinstance(v, float) else str(v)
+        if v is None or not isinstance(v, list) and pd.isna(v):
+            return "null"
+        return f"{v:.9g}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(frame.columns), sorted(tuple(map(plain, row)) for row in frame.itertuples(index=False))
