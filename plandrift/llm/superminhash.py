@@ -7,8 +7,8 @@ that agree on all ROWS values of one of BANDS bands are candidates, and a link i
 threshold times the union of the two full sets.
 
 Within a bucket the classes stand in an order that differs from band to band, cut into chunks of about CHUNK; each
-is a candidate with its chunk's first, with its successor, and the chunks' first ones with the bucket's. So the
-candidates grow with the number of classes. A pair whose signatures agree in less than LIKELY of the places, five
+is a candidate with its chunk's first, in buckets of one chunk also with its successor, and the chunks' first ones
+with the bucket's. So the candidates grow with the number of classes. A pair whose signatures agree in less than LIKELY of the places, five
 standard deviations under a similarity of 0.8, is no candidate. Each class first meets its likeliest candidate;
 then come the pairs that are still in different components. After that, buckets that hold several components are
 gone through again, for all their pairs across components if they are small, else for each class with the leaders
@@ -159,7 +159,8 @@ def candidates(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     near = dealt.withColumns({"first": F.first(me).over(order), "before": F.lag(me).over(order), "me": me}).select("bucket", "size", "me", "first", "before")
     heads = near.filter(F.col("before").isNull() & (F.col("size") > CHUNK)).select("bucket", "me")
     tops = heads.groupBy("bucket").agg(F.min("me").alias("top"))
-    pairs = near.select(F.col("me").alias("x"), F.explode(F.array_compact(F.array("first", "before"))).alias("y"))
+    close = F.when(F.col("size") <= CHUNK, F.col("before"))
+    pairs = near.select(F.col("me").alias("x"), F.explode(F.array_compact(F.array(F.col("first"), close))).alias("y"))
     return _pairs(pairs.union(heads.join(tops, "bucket").select("me", "top")), classes)
 
 
@@ -225,21 +226,20 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     sets = written(full_sets(documents, buckets.select("id").distinct(), width), "sets")
     tried = written(likeliest(near), "tried")
     links = written(verified(tried, sets), "links")
-    component, turn, going = components(links), 0, True
+    component = components(links)
+    of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    more, turn, going = apart.select("a", "b"), 0, True
     while going:
-        more = across(buckets, classes, component, turn)
-        if turn == 0:
-            of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-            apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-            more = more.union(apart.select("a", "b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "tried")
         found = written(verified(more, sets), "links")
         n = found.count()
         if n:
             links = links.union(found)
             component = components(links)
-        going = n * RARE > more.count()
+        going = turn == 0 or n * RARE > more.count()
         tried, turn = tried.union(more), turn + 1
+        more = across(buckets, classes, component, turn)
     of = classes.join(component, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))
     grouped = own.filter("n_shingles > 0").drop("bands", "sketch").join(of, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
