@@ -83,14 +83,19 @@ def tidy(run: Callable) -> Callable:
 
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return tidied
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Splitmix64's finaliser over uint64, for each seed another bijection."""
     x = x + U64(((seed + 1) * _MULT) & 0xFFFFFFFFFFFFFFFF)

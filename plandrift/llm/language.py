@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, portions, tidy
+from .common import U64, portions, release, tidy
 
 HASH_BITS, DIMENSION, GRAMS = 16, 16, (2, 4)
 #: Labelled rows to fit on, at most.
@@ -92,7 +92,7 @@ def train(texts: list[str], labels: list[str], reject: float = 0.001, seed: int
     if not languages:
         return Model([], np.zeros((1 << HASH_BITS, 0)), np.zeros(0))
     y = np.array([languages.index(x) for x in labels])
-    rows = [subwords([t.encode("utf-8", "surrogatepass")])[0] for t in texts]
+    rows = [subwords([t.encode("utf-8", "surrogatepass")])[0].astype(np.uint16) for t in texts]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << HASH_BITS, DIMENSION))
     head, bias = np.zeros((DIMENSION, len(languages))), np.zeros(len(languages))
@@ -112,7 +112,8 @@ def train(texts: list[str], labels: list[str], reject: float = 0.001, seed: int
     model = Model(languages, vectors @ head, bias)
     back = [k for k in range(len(rows)) if k % 5 == 4 and len(rows[k])]
     if back:
-        logits = model.logits([texts[k].encode("utf-8", "surrogatepass") for k in back])
+        raw = [texts[k].encode("utf-8", "surrogatepass") for k in back]
+        logits = np.concatenate([model.logits(raw[own]) for own in portions(raw)])
         loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(back)), y[back]], 1e-12)).mean()
         model.temperature = min((2.0 ** (k / 4) for k in range(-16, 17)), key=loss)
         model.least = min(0.5, float(np.quantile(softmax(logits / model.temperature).max(axis=1), reject)))
@@ -125,7 +126,10 @@ def fit(documents: DataFrame, max_fit: int = MAX_FIT) -> Model:
     last = labelled.select("_order").orderBy("_order").limit(max_fit).agg(F.max("_order")).first()[0]
     rows = labelled.filter(F.col("_order") <= F.lit(last)).select("_order", "lang", "text").collect() if last is not None else []
     chosen = [r for r in sorted(rows)[:max_fit] if has_letter(r["text"])]
-    return train([r["text"] for r in chosen], [r["lang"] for r in chosen])
+    model = train([r["text"] for r in chosen], [r["lang"] for r in chosen])
+    del rows, chosen
+    release()
+    return model
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
