@@ -62,6 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH_CONF, rows)
+    gc.collect()  # the plan is done with: its shuffle files and the driver's memory go with its last reference
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
