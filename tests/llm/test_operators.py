@@ -232,6 +232,25 @@ def test_near_passages(spark):
     assert {r["doc_id"] for r in compact_windows.passages(frame(spark, own)).collect()} == set(range(2, 40))
 
 
+def made(*sizes):
+    """Texts of distinct words as hashes."""
+    rng = np.random.default_rng(8)
+    return [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in sizes]
+
+
+def compared_words(a, b):
+    tokens = [compact_windows.shingles_of(np.concatenate(x), np.array([0, sum(map(len, x))]), 5)[0] for x in (a, b)]
+    return compact_windows.compared(*tokens)
+
+
+def test_passages_side_by_side():
+    """Two passages that stand together in the later text only, and one with a partial copy before it, are found."""
+    p, q, *rest = made(64, 64, 50, 300, 30, 80, 60)
+    got = {r[:4] for r in compared_words([rest[0], p, rest[1], q, rest[2]], [rest[3], p, q, rest[4]])}
+    assert {(80, 140, 50, 110), (144, 204, 414, 474)} == got
+    assert [r[:4] for r in compared_words([p[:30], rest[1], p, rest[2]], [rest[3], p, rest[4]])] == [(80, 140, 330, 390)]
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(7)
     for _ in range(60):
