@@ -251,6 +251,14 @@ def test_passages_side_by_side():
     assert [r[:4] for r in compared_words([p[:30], rest[1], p, rest[2]], [rest[3], p, rest[4]])] == [(80, 140, 330, 390)]
 
 
+def test_passages_with_insertions():
+    """Words inserted in the later copy count by the similarity alone; exactly 0.8 counts."""
+    p, new, *rest = made(64, 5, 50, 30, 30, 40)
+    assert [r[:4] + (round(r[4], 4),) for r in compared_words([rest[0], p, rest[1]], [rest[2], p[:32], new, p[32:], rest[3]])] == [(30, 95, 50, 110, round(56 / 69, 4))]
+    p, new, *rest = made(58, 2, 50, 30, 30, 40)
+    assert [r[:2] + r[4:] for r in compared_words([rest[0], p, rest[1]], [rest[2], p[:30], new, p[32:], rest[3]])] == [(30, 84, 0.8)]  # 48 of 60 tokens
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(7)
     for _ in range(60):
