@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -259,6 +260,25 @@ def test_passages_with_insertions():
     assert [r[:2] + r[4:] for r in compared_words([rest[0], p, rest[1]], [rest[2], p[:30], new, p[32:], rest[3]])] == [(30, 84, 0.8)]  # 48 of 60 tokens
 
 
+def agreeing(hits):
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("turn", "la", "ca", "ra", "lb", "cb", "rb")]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([[dict(zip(("turn", "la", "ca", "ra", "lb", "cb", "rb"), h)) for h in hits]], kind)], ["a", "b", "hits"])
+    return list(compact_windows._agreeing(iter([batch])))[0].to_pylist()
+
+
+def test_agreement_of_many_repeats():
+    """A passage that the later text repeats 60 times gives each function a block of collisions with one place in the earlier text."""
+    hits = [(turn, 10, 10 + 10 * turn, 40, 10, 56 * k + 10 + 10 * turn, 40) for k in range(60) for turn in range(2)]
+    assert len(agreeing(hits)) == 1 and len(agreeing(hits)[0]["places"]) >= 60
+    assert agreeing([h for h in hits if h[0] == 0]) == []
+    rng = random.Random(9)
+    for _ in range(30):
+        some = [(rng.randrange(3), rng.randrange(20), rng.randrange(20, 200), rng.randrange(20), rng.randrange(20), rng.randrange(20, 200), rng.randrange(20)) for _ in range(60)]
+        meets = lambda x, y: all(max(x[k + 1] - x[k], y[k + 1] - y[k]) <= min(x[k + 1], y[k + 1]) and max(x[k + 1], y[k + 1]) <= min(x[k + 1] + x[k + 2], y[k + 1] + y[k + 2]) for k in (1, 4))
+        want = {x[5] // compact_windows.PASSAGE for x in some for y in some if x[0] != y[0] and meets(x, y)}
+        assert {p for r in agreeing(some) for p in r["places"]} == want
+
+
 def test_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(7)
     for _ in range(60):
