@@ -260,6 +260,18 @@ def test_passages_with_insertions():
     assert [r[:2] + r[4:] for r in compared_words([rest[0], p, rest[1]], [rest[2], p[:30], new, p[32:], rest[3]])] == [(30, 84, 0.8)]  # 48 of 60 tokens
 
 
+def test_passages_of_several_sources(spark, monkeypatch):
+    """Evidence one token after a found passage, in the same 46 tokens, is still open."""
+    one, two, *rest = made(70, 60, 40, 40, 40)
+    text = lambda *parts: " ".join(f"w{x}" for p in parts for x in p.tolist())
+    own = [(1, text(rest[0], one)), (2, text(two, rest[1])), (3, text(one, two, rest[2]))]
+    # the passage of 1 ends at token 66 of 3; all evidence for 2 is at 70, where two begins
+    found = {source: agreeing([(turn, 2, 9, 2, 2, c, 2) for c in at for turn in (0, 1)])[0]["places"] for source, at in ((1, (5, 20, 60)), (2, (70,)))}
+    pairs = spark.createDataFrame([(source, 3, places) for source, places in found.items()], "a long, b long, places array<int>")
+    monkeypatch.setattr(compact_windows, "candidates", lambda documents: pairs)
+    assert {(r["earlier_id"], r["start_word"], r["end_word"]) for r in compact_windows.passages(frame(spark, own)).collect()} == {(1, 0, 70), (2, 70, 130)}
+
+
 def agreeing(hits):
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("turn", "la", "ca", "ra", "lb", "cb", "rb")]))
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([[dict(zip(("turn", "la", "ca", "ra", "lb", "cb", "rb"), h)) for h in hits]], kind)], ["a", "b", "hits"])
@@ -275,7 +287,7 @@ def test_agreement_of_many_repeats():
     for _ in range(30):
         some = [(rng.randrange(3), rng.randrange(20), rng.randrange(20, 200), rng.randrange(20), rng.randrange(20), rng.randrange(20, 200), rng.randrange(20)) for _ in range(60)]
         meets = lambda x, y: all(max(x[k + 1] - x[k], y[k + 1] - y[k]) <= min(x[k + 1], y[k + 1]) and max(x[k + 1], y[k + 1]) <= min(x[k + 1] + x[k + 2], y[k + 1] + y[k + 2]) for k in (1, 4))
-        want = {x[5] // compact_windows.PASSAGE for x in some for y in some if x[0] != y[0] and meets(x, y)}
+        want = {x[5] for x in some for y in some if x[0] != y[0] and meets(x, y)}
         assert {p for r in agreeing(some) for p in r["places"]} == want
 
 
