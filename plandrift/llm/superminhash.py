@@ -6,18 +6,23 @@ later round can lower a place. Documents with equal sets are one class, stood fo
 that agree on all ROWS values of one of BANDS bands are candidates, and a link is an intersection of at least
 threshold times the union of the two full sets.
 
-Within a bucket the classes stand in an order that differs from band to band, cut into chunks of about CHUNK; each
-is a candidate with its chunk's first, in buckets of one chunk also with its successor, and the chunks' first ones
-with the bucket's. So the candidates grow with the number of classes. A pair whose signatures agree in less than LIKELY of the places, five
-standard deviations under a similarity of 0.8, is no candidate. Each class first meets its likeliest candidate;
-then come the pairs that are still in different components. After that, buckets that hold several components are
-gone through again, for all their pairs across components if they are small, else for each class with the leaders
-of other components, each turn with other leaders, until a turn links less than one pair in RARE.
+The search has two steps. First, in every other band, the classes of a bucket stand in an order that differs from band
+to band, cut into chunks of about CHUNK; each is a candidate with its chunk's first, in buckets of one chunk also with
+its predecessor, and the chunks' first ones with the bucket's. Each class is verified against its likeliest candidates,
+so that the many copies of one text collapse into one component with work in proportion to the classes.
+
+Then every bucket that still holds several components is searched to the end: all its pairs across components are
+compared, in units of at most two blocks of about BLOCK classes (or ELEMENTS shingles), which tasks hold one at a time.
+The largest component of a bucket needs no comparison within itself, so a unit of two of its blocks doesn't exist. A
+pair whose signatures agree in less than LIKELY of the places, five standard deviations under a similarity of 0.8, is
+passed over; one that meets in several bands is compared in the first. What remains is compared on full sets, and a
+unit returns a link only where it joins two components, so the rows never outgrow the classes.
 
 Cases: null, empty and white-space texts have no set (n_shingles 0) and are linked with nothing. With fewer words
-than the width, the whole sequence is one shingle. Repeated rows are copies of one another, with one doc_id. Rows
-without doc_id take no part in links and are returned with a null component and kept false. An empty table gives
-no rows. Columns beside the two named are ignored here; ``keep_one`` leaves them as they are.
+than the width, the whole sequence is one shingle. Rows with one doc_id are one document, which links wherever one of
+its texts does; n_shingles is each row's own. Rows without doc_id take no part in links and are returned with a null
+component and kept false. An empty table gives no rows. Columns beside the two named are ignored here; ``keep_one``
+leaves them as they are, and leaves rows without doc_id in.
 """
 
 from __future__ import annotations
@@ -36,13 +41,13 @@ from .components import components
 #: At a similarity of 0.8 a pair shares none of 24 bands of 4 values in 3 of a million cases.
 BANDS, ROWS = 24, 4
 PLACES = BANDS * ROWS
-SMALL, CHUNK = 32, 256
+CHUNK = 256
+#: Classes of a block, and shingles; pairs that are compared on full sets at once, and bytes of bit sets held for it.
+BLOCK, ELEMENTS, TOGETHER, HELD = 8192, 2_000_000, 8192, 1 << 24
 #: The least similarity of a link, in hundredths.
 PERCENT = 80
 #: Of PLACES, those that two signatures agree in at least, and those of a pair that is all but surely a link.
 LIKELY, SURE = 58, 82
-#: The search ends with a turn that finds less than one link in so many pairs.
-RARE = 200
 
 
 def sets_of(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +73,12 @@ def sets_of(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray
     return shingles, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def digests(shingles: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A name of 16 bytes for each set."""
+    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles, seed))]) for seed in (11, 12)]
+    return pa.array([d.tobytes() for d in np.stack([x[bounds[1:]] - x[bounds[:-1]] for x in sums], 1)], pa.binary())
+
+
 def signatures(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> np.ndarray:
     """SuperMinHash values, as round * 2 ** 32 + a 32-bit fraction, of each set; all-ones for an empty one."""
     n = len(bounds) - 1
@@ -100,7 +111,7 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, places: int = PLACES) -
 
 
 def prepared(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch): digest names the set, bands are a hash for each band, sketch has a byte for each place."""
+    """(doc_id, n_shingles, digest, bands, sketch): digest names the set in 128 bits, bands are a hash for each band, sketch has a byte for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,13 +125,10 @@ def prepared(documents: DataFrame, width: int) -> DataFrame:
                 for r in range(ROWS):
                     bands = mix(bands + signed[:, r::ROWS][:, :BANDS], r)
                 bands = mix(bands + np.arange(BANDS, dtype=U64), 9).astype(np.int64)
-                sums = lambda seed: np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles, seed))])
-                one, two = sums(11), sums(12)
-                digest = np.stack([one[bounds[1:]] - one[bounds[:-1]], two[bounds[1:]] - two[bounds[:-1]]], 1)
                 sketch = (mix(signed, 13) & U64(255)).astype(np.uint8).view(np.int64)
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()), listed(bands), listed(sketch)],
+                    [part.column(0), pa.array(sizes, pa.int64()), digests(shingles, bounds), listed(bands), listed(sketch)],
                     ["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
@@ -172,26 +180,164 @@ def likeliest(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).distinct()
 
 
-def across(buckets: DataFrame, classes: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of classes in one bucket and in different components, in the order of this turn."""
+def units(buckets: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """UNIT rows of the buckets (bucket, id, n) that hold several components: each class in every unit that it is compared in."""
     labelled = buckets.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("bucket", "component").agg(F.min_by(F.struct(*ME), F.xxhash64("id", F.lit(turn))).alias("leader"), F.count(F.lit(1)).alias("members"))
-    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component")).alias("most")).filter("parts > 1")
-    rows = labelled.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket").withColumn("me", F.struct(*ME))
-    small = rows.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("me", "component")).alias("rows"))
-    later = lambda x, k: F.filter(F.slice("rows", k + 2, F.size("rows")), lambda y: y["component"] != x["component"])
-    every = F.flatten(F.transform("rows", lambda x, k: F.transform(later(x, k), lambda y: F.struct(x["me"].alias("x"), y["me"].alias("y")))))
-    close = _pairs(small.select(F.explode(every).alias("p")).select("p.x", "p.y"), classes).select("a", "b")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("component", F.lit(turn)), "component")
-    led = parts.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket")
-    leaders = led.withColumns({"next": F.lead("leader").over(order), "top": F.max_by("leader", F.col("members")).over(Window.partitionBy("bucket"))})
-    others = leaders.filter(F.col("component") != F.col("largest")).select("bucket", "component", F.array_compact(F.array("next", "top")).alias("others"))
-    far = rows.filter((F.col("size") > SMALL) & (F.col("component") != F.col("largest"))).join(others, ["bucket", "component"])
-    return close.union(likeliest(_pairs(far.select(F.col("me").alias("x"), F.explode("others").alias("y")), classes))).distinct()
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
+    most = F.max(F.struct("members", "elements", "component")).alias("most")
+    mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members"), F.sum("elements").alias("elements"), most).filter("parts > 1")
+    blocks = lambda members, elements: F.greatest(F.ceil(members / BLOCK), F.ceil(elements / ELEMENTS)).cast("int")
+    whole = blocks(F.col("members"), F.col("elements")) <= 1
+    others = F.when(whole, 1).otherwise(blocks(F.col("members") - F.col("most.members"), F.col("elements") - F.col("most.elements")))
+    sized = mixed.select("bucket", whole.alias("whole"), F.col("most.component").alias("largest"), others.alias("others"), blocks(F.col("most.members"), F.col("most.elements")).alias("mine"))
+    rows = labelled.join(sized, "bucket").withColumn("top", ~F.col("whole") & (F.col("component") == F.col("largest")))
+    at = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("top"), F.col("mine")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("top"), F.col("others")).otherwise(0) + at)
+    other = F.sequence(F.lit(0), F.when(F.col("whole"), 0).when(F.col("top"), F.col("others") - 1).otherwise(F.col("others") + F.col("mine") - 1))
+    met = F.transform(other, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    dealt = rows.select("bucket", F.explode(met).alias("u"), "block", "id", "n", "component").join(classes.select("id", "bands", "sketch", "digest"), "id")
+    return dealt.select("bucket", "u.i", "u.j", (F.col("block") != F.col("u.i")).alias("second"), "id", "n", "component", "bands", "sketch", "digest")
+
+
+UNIT = "bucket long, i int, j int, second boolean, id long, n long, component long, bands array<long>, sketch array<long>, digest binary"
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy()
+
+
+def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole units, and where each unit begins, and the last one's end, of rows in the order of (bucket, i, j)."""
+    held = None
+    for batch in batches:
+        own = pa.Table.from_batches([batch])
+        held = own if held is None else pa.concat_tables([held, own])
+        key = np.stack([held.column(k).to_numpy() for k in ("bucket", "i", "j")])
+        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if len(edges):
+            yield held.slice(0, edges[-1]), [0, *edges.tolist()]
+            held = held.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+class _Unit:
+    """Classes to compare, from row begin to end of a table's columns."""
+
+    def __init__(self, columns: dict[str, np.ndarray], begin: int, end: int) -> None:
+        own = {k: v[begin:end] for k, v in columns.items()}
+        self.bucket, self.id, self.n, self.bands, self.sketch = own["bucket"][0], own["id"], own["n"], own["bands"], own["sketch"]
+        self.part = np.unique(own["component"], return_inverse=True)[1]
+        self.second = int((~own["second"]).sum()) if own["i"][0] != own["j"][0] else 0
+
+    @staticmethod
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        out = {k: table.column(k).to_numpy() for k in ("bucket", "i", "j", "second", "id", "n", "component")}
+        return out | {"bands": _flat(table.column("bands")).reshape(-1, BANDS), "sketch": _flat(table.column("sketch")).view(np.uint8).reshape(-1, PLACES)}
+
+    def close(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each class the later ones in other components that it may link with and meets here first."""
+        for k in range(self.second or len(self.id)):
+            begin = self.second or k + 1
+            n, mine = self.n[begin:], self.n[k]
+            other = begin + np.flatnonzero((self.part[begin:] != self.part[k]) & (100 * np.minimum(n, mine) >= PERCENT * np.maximum(n, mine)))
+            if len(other):
+                equal = (self.sketch[other] == self.sketch[k]).view(U64).sum(axis=1, dtype=U64)  # each byte: places of eight
+                other = other[(equal * U64(0x0101010101010101)) >> U64(56) >= LIKELY]
+            if len(other):
+                shared = self.bands[other] == self.bands[k]
+                other = other[self.bands[k][shared.argmax(axis=1)] == self.bucket]
+            if len(other):
+                yield k, other
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The UNIT rows that have a pair to compare."""
+    for table, edges in _each_unit(batches):
+        columns, keep = _Unit.columns(table), np.zeros(table.num_rows, bool)
+        for begin, end in zip(edges, edges[1:]):
+            for k, other in _Unit(columns, begin, end).close():
+                keep[begin + k] = keep[begin + other] = True
+        yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def shared_counts(members: np.ndarray, bounds: np.ndarray):
+    """A function from two arrays of sets' numbers to the sizes of their intersections; members are the sets, one after another."""
+    names, codes = np.unique(members, return_inverse=True)
+    common = np.bincount(codes) > 1
+    sizes, codes = np.diff(bounds), np.where(common, np.cumsum(common) - 1, -1)[codes]
+    width = -(-int(common.sum()) // 64)
+    if width * 8 * len(sizes) <= HELD:
+        owner, shared = np.repeat(np.arange(len(sizes)), sizes), codes >= 0
+        bits = np.zeros((len(sizes), width), U64)
+        np.bitwise_or.at(bits, (owner[shared], codes[shared] >> 6), U64(1) << (codes[shared] & 63).astype(U64))
+        step = max(1, (HELD >> 4) // max(1, width))  # so that what is made of them takes no more than the bits themselves
+
+        def counted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            parts = [np.bitwise_count(bits[a[k : k + step]] & bits[b[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), step)]
+            return np.concatenate(parts)
+
+        return counted
+
+    # what only one set has is of no account
+    kept = codes >= 0
+    bounds, codes = np.concatenate([[0], np.cumsum(kept)])[bounds], codes[kept]
+    own = lambda k: codes[bounds[k] : bounds[k + 1]]
+    return lambda a, b: np.array([len(np.intersect1d(own(x), own(y), assume_unique=True)) for x, y in zip(a, b)], np.int64)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between components, no more than join them, for UNIT rows with members."""
+    for table, edges in _each_unit(batches):
+        columns, members = _Unit.columns(table), table.column("members").combine_chunks()
+        flat, at = members.flatten().to_numpy(), members.offsets.to_numpy() - members.offsets[0].as_py()
+        out = []
+        for begin, end in zip(edges, edges[1:]):
+            unit = _Unit(columns, begin, end)
+            count = shared_counts(flat[at[begin] : at[end]], at[begin : end + 1] - at[begin])
+            waiting, n = [], 0
+
+            def settle() -> None:
+                a = np.concatenate([np.full(len(o), k) for k, o in waiting])
+                b = np.concatenate([o for _, o in waiting])
+                both = count(a, b)
+                linked = 100 * both >= PERCENT * (unit.n[a] + unit.n[b] - both)
+                up = np.arange(len(unit.id))
+                for x, y in zip(a[linked].tolist(), b[linked].tolist()):
+                    p, q = int(unit.part[x]), int(unit.part[y])
+                    while up[p] != p:
+                        p = int(up[p])
+                    while up[q] != q:
+                        q = int(up[q])
+                    if p != q:
+                        up[max(p, q)] = min(p, q)
+                        out.append((unit.id[x], unit.id[y]))
+                while (again := up[up]).tolist() != up.tolist():
+                    up = again
+                unit.part = up[unit.part]
+
+            for k, other in unit.close():
+                waiting.append((k, other))
+                n += len(other)
+                if n >= TOGETHER:
+                    settle()
+                    waiting, n = [], 0
+            if waiting:
+                settle()
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def across(buckets: DataFrame, classes: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components that share a bucket and have a pair that is similar enough."""
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "second")
+    wanted = written(dealt(units(buckets, classes, component)).mapInArrow(tidy(_wanted), UNIT), "wanted")
+    return dealt(wanted.join(sets, ["id", "digest"])).mapInArrow(tidy(_joined), "a long, b long")
 
 
 def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, members): the sets of the documents (doc_id, text) in ids (id)."""
+    """(id, digest, members): the sets of the documents (doc_id, text) in ids (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +345,10 @@ def full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             for where in portions(texts):
                 part = batch.slice(where.start, where.stop - where.start)
                 shingles, bounds = sets_of(texts[where], width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.astype(np.int64)))], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([part.column(0), digests(shingles, bounds), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.astype(np.int64)))], ["id", "digest", "members"])
 
-    texts = documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return texts.mapInArrow(tidy(run), "id long, members array<long>")
+    texts = documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return texts.mapInArrow(tidy(run), "id long, digest binary, members array<long>").filter(F.size("members") > 0)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,7 +356,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda me, name: sets.join(pairs.select(F.col(me).alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias(me), F.col("members").alias(name))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    return shared.filter(100 * F.col("both") >= PERCENT * (F.col("all") - F.col("both"))).select("a", "b")
+    return shared.filter(100 * F.col("both") >= PERCENT * (F.col("all") - F.col("both"))).select("a", "b").distinct()
+
+
+def several(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from each class of a doc_id with several texts to that doc_id."""
+    sets = own.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest")
+    many = sets.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("many")).filter("many").select("doc_id")
+    of = sets.join(many, "doc_id", "left_semi").distinct().join(classes.select("n_shingles", "digest", "id"), ["n_shingles", "digest"])
+    return of.filter("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -219,34 +373,22 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     own = written(prepared(documents, width), "prepared")
     classes = own.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"), F.first(F.struct("bands", "sketch")).alias("s"))
     classes = written(classes.select("n_shingles", "digest", "id", "s.bands", "s.sketch"), "classes")
-    rows = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    rows = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(rows.join(sizes, "bucket"), "buckets")
-    near = written(candidates(buckets, classes), "candidates")
     sets = written(full_sets(documents, buckets.select("id").distinct(), width), "sets")
-    tried = written(likeliest(near), "tried")
-    links = written(verified(tried, sets), "links")
-    component = components(links)
-    of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-    apart = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    more, turn, going = apart.select("a", "b"), 0, True
-    while going:
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "tried")
-        found = written(verified(more, sets), "links")
-        n = found.count()
-        if n:
-            links = links.union(found)
-            component = components(links)
-        going = turn == 0 or n * RARE > more.count()
-        tried, turn = tried.union(more), turn + 1
-        more = across(buckets, classes, component, turn)
+    near = written(candidates(buckets.filter("band % 2 = 0"), classes), "candidates")
+    links = written(verified(likeliest(near), sets).union(several(own, classes)), "links")
+    more = written(across(buckets.select("bucket", "id", "n"), classes, components(links), sets), "links")
+    component = components(links.union(more).distinct())
     of = classes.join(component, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))
     grouped = own.filter("n_shingles > 0").drop("bands", "sketch").join(of, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = own.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    alone = empty.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(documents: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of documents that are kept, with all their columns; of repeated rows with one doc_id, each."""
-    kept = near_duplicates(documents, width).filter("kept").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi")
+    """The rows of documents that are kept, with all their columns; of repeated rows with one doc_id, each; and those without one."""
+    gone = near_duplicates(documents, width).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
