@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 _MULT, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
-#: Rows, whole documents mostly, that a Python worker is sent at once.
-BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Of what a Python worker is sent at once, rows, whole documents mostly, and bytes, at most.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -56,12 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
         _homes[app] = f"{shared_dir(spark)}/plandrift-{uuid.uuid4().hex}"
         atexit.register(_remove_at_exit, spark, _homes[app])
     path = f"{_homes[app]}/{name}-{uuid.uuid4().hex[:12]}"
-    rows = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, min(int(rows), BATCH_ROWS))
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH_CONF, rows)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     gc.collect()  # the plan is done with: its shuffle files and the driver's memory go with its last reference
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

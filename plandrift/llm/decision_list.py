@@ -9,7 +9,7 @@ expression, in the order learned; what no branch takes is kept.
 Cases: null text has no words and lines. Rows without doc_id and repeated rows are judged like others; a doc_id that
 is labelled more than once is fitted on with each label. An empty table gives no rows. Without labels the list is
 empty and only the base rules decide. Equal gains go to the first statistic and the smallest threshold. Other
-columns are ignored here; ``keep_good`` leaves them as they are.
+columns are ignored; ``judge`` replaces those with a name of its own, ``keep_good`` leaves all as they are.
 """
 
 from __future__ import annotations
@@ -170,4 +170,6 @@ def judge(documents: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, rules: list[list[Condition]]) -> DataFrame:
-    return judge(documents, rules).filter("kept").select(documents.columns)
+    """The rows of documents that ``judge`` keeps, with all their columns, whatever their names."""
+    held = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("_row"), "text")
+    return judge(held, rules).filter("kept").select("_row.*")

@@ -9,7 +9,8 @@ which a text is rejected: that of the lowest ``reject`` share of them.
 
 Cases: null text, empty text and text without a letter are ``und`` with score 0. Rows without doc_id are never
 fitted on and count as not held out. Repeated rows get the same answer. An empty table gives no rows; without any
-labelled row all is ``und``. Equal scores go to the language that sorts first. Other columns are ignored.
+labelled row all is ``und``. Equal scores go to the language that sorts first. Rows to fit on with one hash are taken
+in the order of their text's and lang's. Other columns are ignored; ``accepted`` leaves them as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,9 @@ class Model:
                 named[k] = self.languages[b]
         return named, score
 
+    def rejects(self, named: list[str], score: np.ndarray) -> list[bool]:
+        return [x == UNKNOWN or bool(s < self.least) for x, s in zip(named, score)]
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -122,9 +126,16 @@ def train(texts: list[str], labels: list[str], reject: float = 0.001, seed: int
 
 def fit(documents: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Fits on at most max_fit rows with text, lang and a doc_id with crc32(doc_id) mod 3 not 1: those of the smallest hash."""
-    labelled = documents.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).withColumn("_order", F.xxhash64("doc_id"))
-    last = labelled.select("_order").orderBy("_order").limit(max_fit).agg(F.max("_order")).first()[0]
-    rows = labelled.filter(F.col("_order") <= F.lit(last)).select("_order", "lang", "text").collect() if last is not None else []
+    known = F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    labelled = documents.filter(known).select(F.xxhash64("doc_id").alias("one"), F.xxhash64("text", "lang").alias("two"), "lang", "text")
+    first = labelled.select("one", "two").orderBy("one", "two").limit(max_fit)
+    last = first.agg(F.max(F.struct("one", "two"))).first()[0]
+    rows = []
+    if last is not None:  # fewer than max_fit rows come before the last one; of its repetitions, no more than that are read
+        equal = (F.col("one") == last["one"]) & (F.col("two") == last["two"])
+        before = (F.col("one") < last["one"]) | ((F.col("one") == last["one"]) & (F.col("two") < last["two"]))
+        rows = labelled.filter(before).collect()
+        rows += labelled.filter(equal).limit(max_fit - len(rows)).collect()
     chosen = [r for r in sorted(rows)[:max_fit] if has_letter(r["text"])]
     model = train([r["text"] for r in chosen], [r["lang"] for r in chosen])
     del rows, chosen
@@ -136,24 +147,25 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row of (doc_id, text)."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            named, score = own.predict(batch["text"].where(batch["text"].notna(), None).tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": named, "score": score, "rejected": [x == UNKNOWN or s < own.least for x, s in zip(named, score)]})
+            named, score = own.predict(batch.column(1).to_pylist())
+            columns = [batch.column(0), batch.column(2), pa.array(named, pa.string()), pa.array(score), pa.array(own.rejects(named, score), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return documents.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")).mapInPandas(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return documents.select(F.col("doc_id").cast("long"), "text", held.alias("held_out")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of documents whose language the model doesn't reject, with all their columns."""
-    sent, schema = documents.sparkSession.sparkContext.broadcast(model), documents.schema
+    sent, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            named, score = own.predict(batch["text"].where(batch["text"].notna(), None).tolist())
-            yield batch[[x != UNKNOWN and s >= own.least for x, s in zip(named, score)]]
+            rejected = own.rejects(*own.predict(batch.column(at).to_pylist()))
+            yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
 
-    return documents.mapInPandas(tidy(run), schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -4,12 +4,13 @@ A rule (verdict, host, path) fits its host and all subdomains if the url's path
 rule wins. Hosts of which at least SEED of the pages fall under allow rules are trusted seeds, under block rules
 blocked seeds, weighted by their pages. Edges lead from a host to the hosts that its pages link to, and between a
 host and its parent domain where both have pages. Personalised PageRank carries trust along the edges from the
-trusted seeds, and distrust against them from the blocked ones. A url that no rule fits gets its host's verdict:
+trusted seeds, and distrust against them from the blocked ones, step by step until what is still on its way is less
+than TOLERANCE of each. A url that no rule fits gets its host's verdict:
 block where distrust is more than THRESHOLD of trust and distrust together, else allow.
 
 Cases: a null url, or one without ``://``, has an empty host and path; it fits no rule, is in no graph and is
 allowed. A null html has no links. Rows without page_id and repeated rows are judged like others. Dangling hosts
-send what they have back to the seeds. An empty table gives no rows, and without seeds of a kind there is none of
+send what they have back to the seeds, which scales all scores alike. An empty table gives no rows, and without seeds of a kind there is none of
 it. Other columns are ignored.
 """
 
@@ -22,14 +23,15 @@ from .common import written
 
 #: The share of a host's pages that makes it a seed, the share of distrust above which it is blocked.
 SEED, THRESHOLD = 0.5, 0.5
-DAMPING, ROUNDS = 0.85, 8
+DAMPING, TOLERANCE = 0.85, 1e-3
 
 Rule = tuple[str, str, str]  # block or allow, host, path with its first /
 
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path of a url; both empty if it is null or has no ://."""
-    rest = F.coalesce(F.regexp_extract(url, r"(?s)^(?:(?!://).)*://(.*)$", 1), F.lit(""))
+    at = F.instr(url, "://")
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
@@ -55,21 +57,22 @@ def edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, graph: DataFrame) -> DataFrame:
-    """(kind, host, score) by personalised PageRank from seeds (kind, host, weight) over graph (kind, source, target)."""
-    total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
-    start = written(seeds.join(F.broadcast(total), "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("start")), "seeds")  # total: two rows
+    """(kind, host, score) by personalised PageRank from seeds (kind, host, weight) over graph (kind, source, target).
+
+    What starts at the seeds moves on along the links, DAMPING of it in each step; a host's score is the sum of all that
+    came by, and is scaled to a sum of 1 for each kind. A step handles only what is still on its way.
+    """
+    total = lambda rows, value: rows.groupBy("kind").agg(F.sum(value).alias("total"))  # noqa: E731  two rows: one for each kind
+    scaled = lambda rows, value: rows.join(F.broadcast(total(rows, value)), "kind").withColumn(value, F.col(value) / F.col("total")).drop("total")
+    moving = written(scaled(seeds, "weight").withColumnRenamed("weight", "score"), "seeds")
     degree = graph.groupBy("kind", "source").agg(F.count(F.lit(1)).alias("degree"))
-    shares = written(graph.join(degree, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (1 / F.col("degree")).alias("share")), "shares")
-    score = start.withColumnRenamed("start", "score")
-    if shares.isEmpty():
-        return score
-    for _ in range(ROUNDS):
-        sent = score.join(shares, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg((DAMPING * F.sum(F.col("score") * F.col("share"))).alias("moved"))
-        kept = sent.groupBy("kind").agg(F.sum("moved").alias("moved_all"))
-        again = start.join(F.broadcast(kept), "kind", "left")  # kept: two rows
-        again = again.select("kind", "host", (F.col("start") * (1 - F.coalesce("moved_all", F.lit(0.0)))).alias("score"))
-        score = written(again.unionByName(sent.withColumnRenamed("moved", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
-    return score
+    shares = written(graph.join(degree, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (DAMPING / F.col("degree")).alias("share")), "shares")
+    passed = moving
+    while any(r["total"] > TOLERANCE for r in total(moving, "score").collect()):
+        sent = moving.join(shares, ["kind", "host"])
+        moving = written(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")), "scores")
+        passed = passed.unionByName(moving)
+    return scaled(passed.groupBy("kind", "host").agg(F.sum("score").alias("score")), "score")
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,12 +108,12 @@ def pack(examples: DataFrame, encode: Callable[[], Callable[[list[str]], list[np
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     columns = [F.col("doc_id").cast("long"), "text", *([F.col(prompt).alias("prompt")] if prompt else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encoded = Packer(*limits, first=TaskContext.get().partitionId() << 33), encode()
         waiting: dict[int, list] = {}
         n = 0
 
-        def rows() -> pd.DataFrame:
+        def rows() -> pa.RecordBatch:
             found = []
             for key, start, length, at, offset in packer.taken():
                 own = waiting[key]
@@ -122,16 +122,16 @@ def pack(examples: DataFrame, encode: Callable[[], Callable[[list[str]], list[np
                 own[2] -= length
                 if not own[2]:
                     del waiting[key]
-            out = pd.DataFrame(found, columns=[c.split()[0] for c in PIECES.split(", ")], dtype=object)
-            return out.astype({c: "int64" for c in out.columns[1:]} | {"doc_id": "Int64"})
+            names = [c.split()[0] for c in PIECES.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*found)) or [[]] * len(names)], names)
 
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            before = encoded(batch["prompt"].fillna("").tolist()) if prompt else [np.zeros(0, "<u4")] * len(texts)
-            for doc, head, ids in zip(batch["doc_id"], before, encoded(texts)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            before = encoded([t or "" for t in batch.column(2).to_pylist()]) if prompt else [np.zeros(0, "<u4")] * len(texts)
+            for doc, head, ids in zip(batch.column(0).to_pylist(), before, encoded(texts)):
                 ids = np.concatenate([head, ids, [end_id]]).astype("<u4")
                 free = len(head)
-                waiting[n] = [None if pd.isna(doc) else int(doc), ids, len(ids)]
+                waiting[n] = [doc, ids, len(ids)]
                 start = 0
                 while len(ids) - start >= max_tokens and limits[2] >= max_tokens:
                     packer.out.append((n, start, max_tokens, packer.next, 0))
@@ -144,11 +144,12 @@ def pack(examples: DataFrame, encode: Callable[[], Callable[[list[str]], list[np
         packer.finish()
         yield rows()
 
-    return examples.select(*columns).mapInPandas(tidy(run), PIECES)
+    return examples.select(*columns).mapInArrow(tidy(run), PIECES)
 
 
 def byte_bpe(path: str, library: str = "tiktoken") -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
-    """Ids of a byte-level BPE vocabulary, without special tokens.
+    """Ids of a byte-level BPE vocabulary. The string of a special token in a text is ordinary text, as a document must
+    not be able to end itself.
 
     library "tokenizers" reads the .json at path; "tiktoken" reads the same vocabulary's rank file beside it, gives
     the same ids and takes a sixth of the time.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: conv_ids of a block within which neighbours are found.
+#: Conversations of a block of conv_ids within which neighbours are found, if the ids are spread evenly.
 BLOCK = 1024
 #: What stands before and after a turn's role and text.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -39,7 +39,9 @@ def conversations_of(turns: DataFrame) -> DataFrame:
 def neighbours(conversations: DataFrame) -> DataFrame:
     """(conv_id, next_id): the next larger conv_id with the same first turn, or null."""
     first = F.get("turns", F.lit(0))
-    keyed = conversations.select("conv_id", F.sha2(F.to_json(first), 256).alias("key"), F.floor(F.col("conv_id") / BLOCK).alias("block"))
+    n, low, high = conversations.agg(F.count(F.lit(1)), F.min("conv_id"), F.max("conv_id")).first()
+    width = max(1.0, (float(high) - float(low)) / n * BLOCK) if n else 1.0
+    keyed = conversations.select("conv_id", F.sha2(F.to_json(first), 256).alias("key"), F.floor(F.col("conv_id") / F.lit(width)).alias("block"))
     inner = Window.partitionBy("key", "block").orderBy("conv_id")
     near = keyed.withColumn("next_id", F.lead("conv_id").over(inner))
     edges = keyed.groupBy("key", "block").agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("conv_id"))
