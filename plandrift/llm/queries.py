@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, compact_windows, decision_list, exact_dedup, language, link_graph, packing, preference, suffix_family, superminhash
 from .common import table
@@ -51,7 +52,8 @@ def op8_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_family.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), whole=False)
+    found = suffix_family.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")  # of a character that is cut, U+FFFD
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Exact substring dedup by a logarithmic family of suffix arrays.
 
 A string of LENGTH bytes that starts in two places has in both the same anchors: grams of GRAM bytes that are the
-smallest by hash among all grams of some LENGTH bytes. Only suffixes at anchors whose gram occurs twice or more are
-indexed, each with the bytes around it that a match can touch. They are dealt to tasks by gram.
+smallest by hash among all grams of some LENGTH bytes. Equal texts, known by 128 bits, repeat each other whole; one of
+them stands for all against the rest. Only suffixes at anchors whose gram occurs twice or more are indexed, each with
+the bytes around it that a match can touch. They are dealt to tasks by gram.
 
 A task takes its suffixes in batches. Each batch gets a suffix array, by the bytes from the gram on, and one of the
-reversed text, by the bytes before it; both are merge-scanned against the levels that stand, and then merge with
-levels of equal size, so that a suffix is merged a logarithmic number of times. In a scan, neighbours of one gram
-tell how far a suffix matches to either side: together LENGTH bytes or more are a repeat. As the scans meet every
+reversed text, by the bytes before it; a search finds its place in each level that stands, where it is scanned
+against its neighbours, and it then merges with levels of equal size, so that a suffix is merged a logarithmic number
+of times. In a scan, neighbours of one gram tell how far a suffix matches to either side: together LENGTH bytes or more are a repeat. As the scans meet every
 neighbour in the final order, the longest matches to each side are exact. Where no one neighbour gives both, all
-strings of LENGTH bytes around the gram are compared for that gram.
+strings of LENGTH bytes around the gram are compared for that gram, by hash and then byte by byte.
 
 Two windows around one gram that are repeated cover all bytes between them, so the first and the last one are
 enough. A long run of one period repeats itself; three of its anchors stand for all.
@@ -21,7 +22,6 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,9 +65,9 @@ def thinned(at: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> tuple[np.nda
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, n_bytes, sha256, ats, keys, runs) for (row, text)."""
+    """(row, twin, doc_id, n_bytes, ats, keys, runs) for (row, twin, doc_id, text)."""
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(3).to_pylist()
         for where in portions(texts):
             flat, ends = flat_of(texts[where])
             at, keys = anchors(flat, ends, LENGTH, GRAM)
@@ -80,32 +80,30 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[k].append({"start": int(at[first] - begins[k]), "end": int(at[last] + GRAM - begins[k])})
             at, keys, owner = at[keep], keys[keep], owner[keep]
             bounds = pa.array(np.searchsorted(owner, np.arange(len(ends) + 1)), pa.int32())
-            raw = flat.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(where.start, where.stop - where.start),
+                    *[batch.column(k).slice(where.start, where.stop - where.start) for k in range(3)],
                     pa.array(ends - begins, pa.int64()),
-                    pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(begins, ends)], pa.string()),
                     pa.ListArray.from_arrays(bounds, pa.array((at - begins[owner]).astype(np.int32))),
                     pa.ListArray.from_arrays(bounds, pa.array(keys.astype(np.int64))),
                     pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
-                ["row", "n_bytes", "sha256", "ats", "keys", "runs"],
+                ["row", "twin", "doc_id", "n_bytes", "ats", "keys", "runs"],
             )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, row, at, before, context) for (row, text, ats, keys): a suffix with the bytes that its matches can touch."""
+    """(key, row, twin, at, before, context) for (row, twin, text, ats, keys): a suffix with the bytes that its matches can touch."""
     for batch in batches:
-        texts, places, keys, rows = (batch.column(k).to_pylist() for k in (1, 2, 3, 0))
+        rows, twins, texts, places, keys = (batch.column(k).to_pylist() for k in range(5))
         for where in portions(texts):
             out: list[tuple] = []
-            for row, text, own, named in zip(rows[where], texts[where], places[where], keys[where]):
+            for row, twin, text, own, named in zip(rows[where], twins[where], texts[where], places[where], keys[where]):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(key, row, at, min(at, LEFT), raw[max(0, at - LEFT) : at + RIGHT]) for at, key in zip(own, named)]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "row", "at", "before", "context"])
+                out += [(key, row, twin, at, min(at, LEFT), raw[max(0, at - LEFT) : at + RIGHT]) for at, key in zip(own, named)]
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "row", "twin", "at", "before", "context"])
 
 
 class Family:
@@ -126,15 +124,12 @@ class Family:
         name = np.concatenate([self.keys[rows].astype(">u8").view(np.uint8).reshape(-1, 8), *(parts[::-1] if backward else parts)], axis=1)
         return np.ascontiguousarray(name).view(f"S{name.shape[1]}").ravel()
 
-    def _scan(self, order: np.ndarray) -> None:
-        """Notes how far each two neighbours of one gram match."""
-        for k in range(0, len(order) - 1, TOGETHER):
-            part = order[k : k + TOGETHER + 1]
-            a, b = part[:-1], part[1:]
-            same = self.keys[a] == self.keys[b]
-            a, b = a[same], b[same]
-            if not len(a):
-                continue
+    def _scan(self, order: np.ndarray, since: int) -> None:
+        """Notes how far each two neighbours of one gram match, of which one has the number ``since`` or a later one."""
+        first = np.flatnonzero((np.maximum(order[1:], order[:-1]) >= since) & (self.keys[order[1:]] == self.keys[order[:-1]]))
+        for k in range(0, len(first), TOGETHER):
+            part = first[k : k + TOGETHER]
+            a, b = order[part], order[part + 1]
             differ = self.bytes[a] != self.bytes[b]
             ahead, behind = differ[:, LEFT:], differ[:, LEFT - 1 :: -1]
             right = np.where(ahead.any(axis=1), ahead.argmax(axis=1), RIGHT)
@@ -158,20 +153,20 @@ class Family:
         for backward in (False, True):
             rows = np.arange(n, n + m)
             own.append(rows[np.argsort(self._named(rows, backward), kind="stable")])
-            self._scan(own[-1])
+            self._scan(own[-1], n)
         new = tuple(own)
         for level in reversed(self.levels):  # merge-scan against what stands
-            both = [self._merged(level[side], new[side], bool(side)) for side in (0, 1)]
-            for order in both:
-                self._scan(order)
+            for side in (0, 1):
+                self._scan(self._merged(level[side], new[side], bool(side)), n)
         while self.levels and len(self.levels[-1][0]) <= len(new[0]):
             level = self.levels.pop()
             new = tuple(self._merged(level[side], new[side], bool(side)) for side in (0, 1))
         self.levels.append(new)
 
     def _merged(self, a: np.ndarray, b: np.ndarray, backward: bool) -> np.ndarray:
-        rows = np.concatenate([a, b])
-        return rows[np.argsort(self._named(rows, backward), kind="stable")]  # two runs in order: a merge
+        """Two runs in order as one, by a search in the longer one for each of the other."""
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        return np.insert(a, np.searchsorted(self._named(a, backward), self._named(b, backward), side="right"), b)
 
     def settle(self) -> None:
         """Compares all windows of the grams where neighbours leave open which are the outermost that repeat."""
@@ -208,33 +203,38 @@ class Family:
                     continue
                 order = np.lexsort((column[own], self.keys[rows[own]]))
                 h, k = column[own][order], self.keys[rows[own]][order]
-                twin = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] == k[:-1]))
-                found = rows[own[order[np.unique(np.concatenate([twin, twin + 1]))]]]
+                one = rows[own[order]]
+                new = lambda x: (self.most[x] < at) | (self.least[x] > at)
+                twin = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] == k[:-1]) & (new(one[1:]) | new(one[:-1])))
+                window = slice(LEFT - at, LEFT - at + LENGTH)
+                twin = twin[(self.bytes[one[twin], window] == self.bytes[one[twin + 1], window]).all(axis=1)]
+                found = one[np.unique(np.concatenate([twin, twin + 1]))]
                 self.most[found] = np.maximum(self.most[found], at)
                 self.least[found] = np.minimum(self.least[found], at)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, start, end): bytes of a row that are covered by repeated strings, for (key, row, at, before, context)."""
-    family, rows, ats = Family(), [], []
+    """(row, twin, start, end): bytes of a row that are covered by repeated strings, for (key, row, twin, at, before, context)."""
+    family, rows, twins, ats = Family(), [], [], []
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH):
             part = batch.slice(k, BATCH)
-            before = part.column(3).to_numpy().astype(np.int64)
-            held = part.column(4).to_pylist()
+            before = part.column(4).to_numpy().astype(np.int64)
+            held = part.column(5).to_pylist()
             sizes = np.array([len(c) for c in held])
             place = np.arange(sizes.sum()) + np.repeat(np.arange(len(held)) * (LEFT + RIGHT) + LEFT - before - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
             bytes_ = np.zeros(len(held) * (LEFT + RIGHT), np.uint8)
             bytes_[place] = np.frombuffer(b"".join(held), np.uint8)
             family.add(part.column(0).to_numpy().view(np.uint64), bytes_.reshape(-1, LEFT + RIGHT), before, sizes - before)
             rows.append(part.column(1).to_numpy())
-            ats.append(part.column(2).to_numpy().astype(np.int64))
+            twins.append(part.column(2).to_numpy())
+            ats.append(part.column(3).to_numpy().astype(np.int64))
     if rows:
         family.settle()
-        rows, ats = np.concatenate(rows), np.concatenate(ats)
+        rows, twins, ats = np.concatenate(rows), np.concatenate(twins), np.concatenate(ats)
         hit = family.most >= 0
         start, end = ats[hit] - family.most[hit], ats[hit] - family.least[hit] + LENGTH
-        yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["row", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(twins[hit]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["row", "twin", "start", "end"])
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,36 +250,44 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, texts, spans = (batch.column(k) for k in range(3))
+        texts, spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         out = []
-        for row, text, own in zip(rows.to_pylist(), texts.to_pylist(), spans.to_pylist()):
+        for text, own in zip(texts, spans):
             raw, runs = text.encode("utf-8", "surrogatepass"), union([(s["start"], s["end"]) for s in own])
             cuts = [0, *(x for run in runs for x in run), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-            out.append((row, len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*out)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((len(runs), b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))))
+        columns = list(zip(*out)) or [[]] * 2
+        kinds = (pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["row", "twin", "n_spans", "rest"])
 
 
-def remove_repeats(documents: DataFrame, whole: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of (doc_id, text); whole: also kept, the bytes that stay (null: all)."""
+NAME = ["row", "twin"]
+
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that stay, for every row of (doc_id, text)."""
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    found = texts.select("row", "text").mapInArrow(tidy(_anchored), "row long, n_bytes long, sha256 string, ats array<int>, keys array<long>, runs array<struct<start:int,end:int>>")
+    texts = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select(F.xxhash64("text").alias("row"), F.xxhash64(F.lit(1), "text").alias("twin"), "doc_id", "text")  # 128 bits of a text
+    found = texts.mapInArrow(tidy(_anchored), "row long, twin long, doc_id long, n_bytes long, ats array<int>, keys array<long>, runs array<struct<start:int,end:int>>")
     found = written(found, "anchors")
-    suffixes = found.select("row", F.explode(F.arrays_zip("ats", "keys")).alias("x")).select("row", "x.ats", "x.keys")
+    one = found.groupBy(*NAME).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first(F.struct("n_bytes", "ats", "keys", "runs")).alias("x")).select(*NAME, "copies", "doc_id", "x.*")
+    one = written(one, "distinct")
+    suffixes = one.select(*NAME, F.explode(F.arrays_zip("ats", "keys")).alias("x")).select(*NAME, "x.ats", "x.keys")
     twice = suffixes.groupBy("keys").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("keys")
-    both = suffixes.join(twice, "keys").groupBy("row").agg(F.collect_set(F.struct("ats", "keys")).alias("x"))
-    runs = found.filter(F.size("runs") > 0).select("row", "runs").dropDuplicates(["row"])
-    wanted = both.join(runs, "row", "full").select("row", F.col("x.ats").alias("ats"), F.col("x.keys").alias("keys"), "runs")
-    held = written(texts.select("row", "text").join(wanted, "row"), "held")
-    contexts = held.filter("ats IS NOT NULL").select("row", "text", "ats", "keys").mapInArrow(tidy(_contexts), "key long, row long, at int, before int, context binary")
-    tasks = max(partitions, held.agg(F.sum(F.size("ats"))).first()[0] // TASK if not held.isEmpty() else 1)
-    spans = contexts.repartition(tasks, "key").mapInArrow(tidy(_repeats), "row long, start int, end int")
-    inside = held.filter("runs IS NOT NULL").select("row", F.explode("runs").alias("r")).select("row", "r.start", "r.end")
-    spans = spans.union(inside).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    columns = "row long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = held.select("row", "text").dropDuplicates(["row"]).join(spans, "row").mapInArrow(tidy(_removed), columns)
-    out = texts.select("doc_id", "row").join(found.select("row", "n_bytes", "sha256").dropDuplicates(["row"]), "row").join(cut if whole else cut.drop("kept"), "row", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *["kept"] * whole)
+    both = suffixes.join(twice, "keys").groupBy(*NAME).agg(F.collect_list(F.struct("ats", "keys")).alias("x"))
+    wanted = one.filter("size(ats) > 0").select(*NAME, "copies", "doc_id", "runs").join(both, NAME, "left").filter("x IS NOT NULL OR size(runs) > 0")
+    wanted = wanted.select(*NAME, "copies", F.col("doc_id").alias("of"), "runs", F.col("x.ats").alias("ats"), F.col("x.keys").alias("keys"))
+    held = texts.join(wanted, NAME).filter(F.col("doc_id").eqNullSafe(F.col("of"))).drop("doc_id", "of")
+    held = written(held, "held")
+    tasks = max(partitions, (held.agg(F.sum(F.size("ats"))).first()[0] or 0) // TASK)
+    held = held.dropDuplicates(NAME)  # rows with one doc_id and one text
+    contexts = held.filter("ats IS NOT NULL").select(*NAME, "text", "ats", "keys").mapInArrow(tidy(_contexts), "key long, row long, twin long, at int, before int, context binary")
+    spans = contexts.repartition(tasks, "key").mapInArrow(tidy(_repeats), "row long, twin long, start int, end int")
+    inside = held.filter("copies = 1").select(*NAME, F.explode("runs").alias("r")).select(*NAME, "r.start", "r.end")
+    spans = spans.union(inside).groupBy(*NAME).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    cut = held.filter("copies = 1").select(*NAME, "text").join(spans, NAME).mapInArrow(tidy(_removed), "row long, twin long, n_spans long, rest binary")
+    copies = one.filter(f"copies > 1 AND n_bytes >= {LENGTH}").select(*NAME, F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("rest"))
+    out = texts.join(written(cut.union(copies), "cut"), NAME, "left").withColumn("whole", F.col("text").cast("binary")).withColumn("kept", F.coalesce("rest", "whole"))
+    n_bytes, n_kept = (F.octet_length(c).cast("long") for c in ("whole", "kept"))
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - n_kept).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
