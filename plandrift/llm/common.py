@@ -64,7 +64,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    gc.collect()  # the plan is done with: its shuffle files and the driver's memory go with its last reference
+    # The plan is done with: its shuffle files go with its last reference, when the driver's garbage is collected, which
+    # by itself may take half an hour. Listeners hold on to the last execution until another one comes along.
+    gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
