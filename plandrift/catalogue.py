@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, similarity, text
@@ -72,7 +72,7 @@ def similar(spark: SparkSession, d: str, grams) -> DataFrame:
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """(qid, question, item_id, text, similarity, rank): the first three records of each question by words."""
     first = retrieval.ranked(similar(spark, d, retrieval.word_grams), "qid", "item_id", 3)
-    return first.join(questions(spark, d).withColumnRenamed("text", "question"), "qid").join(F.broadcast(corpus(spark, d)), "item_id")
+    return first.join(questions(spark, d).withColumnRenamed("text", "question"), "qid").join(corpus(spark, d), "item_id")
 
 
 # elements
@@ -187,7 +187,7 @@ def pair_compat(spark, d):
 
 @query
 def page_similarity(spark, d):
-    side = lambda s: [F.col(f"source_{s}").alias(f"sheet_id_{s}"), F.lit(1).alias(f"page_number_{s}"), F.lit(1191.0).alias(f"width_{s}"), F.lit(842.0).alias(f"height_{s}"), F.substring(f"text_{s}", 1, 62).alias(f"page_text_{s}")]
+    side = lambda s: [F.col(f"source_{s}").alias(f"sheet_id_{s}"), F.lit(1).alias(f"page_number_{s}"), F.lit(1191.0).alias(f"width_{s}"), F.lit(842.0).alias(f"height_{s}"), F.col(f"text_{s}").alias(f"page_text_{s}")]
     return pairing.page_similarity(views.document_pairs(spark, d).select("doc_a", "doc_b", *side("a"), *side("b"))).select("doc_a", "doc_b", "similarity")
 
 
@@ -224,7 +224,13 @@ def assignment(spark, d):
 
 @query
 def delta_changes(spark, d):
-    return changes.compare(*revisions(spark, d), PAGE, *names())
+    """The whole comparison, page by page; what it found is not part of the rows that SQL is held against."""
+    return changes.compare(*revisions(spark, d), PAGE, *names()).drop("features")
+
+
+@query
+def suppressed_counts(spark, d):
+    return changes.compared(*revisions(spark, d), PAGE, *names())["suppressed"]
 
 
 @query
@@ -251,9 +257,11 @@ def classify_truth(spark, d):
 
 @query
 def unmatched_anti(spark, d):
+    """Elements that no true pair has, on pages that both revisions have or only one."""
     a, b = revisions(spark, d)
-    gone = a.join(b.select(*TRUE), TRUE, "left_anti").select(*TRUE, F.lit("removed").alias("change_type"))
-    return gone.union(b.join(a.select(*TRUE), TRUE, "left_anti").select(*TRUE, F.lit("added").alias("change_type")))
+    pairs = true_pairs(spark, d)
+    left = lambda rows, side, kind: matching.unmatched(rows, pairs, PAGE, side).select(*TRUE, F.lit(kind).alias("change_type"))
+    return left(a, "a", "removed").union(left(b, "b", "added"))
 
 
 @query
@@ -281,10 +289,9 @@ def noise_filter(spark, d):
 
 @query
 def change_order(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("page_number").orderBy("y0", "x0", "entity_type", "delta_item_id")
-    return true_changes(spark, d).select("page_number", "delta_item_id", F.row_number().over(order).alias("position"))
+    """Each page's changes in reading order, with their places in it."""
+    order = Window.partitionBy("page_number").orderBy(*changes.reading_order("page_number"))
+    return changes.in_order(true_changes(spark, d), "page_number").select("page_number", "delta_item_id", F.row_number().over(order).alias("position"))
 
 
 @query
@@ -320,11 +327,10 @@ def ui_filter_page(spark, d):
 
 @query
 def failure_table(spark, d):
-    rows = true_changes(spark, d)
-    low = rows.filter("confidence_band = 'low'").select("page_number", F.lit("low_confidence").alias("failure"))
-    moved = rows.filter("change_type = 'moved_modified'").select("page_number", F.lit("review").alias("failure"))
-    gone = rows.filter("change_type = 'removed'").select("page_number", F.lit("false_negative").alias("failure"))
-    return low.union(moved).union(gone).groupBy("page_number", "failure").agg(F.count(F.lit(1)).alias("n"))
+    """Pages as cases: what of the known edits was missed or invented, answers of the conversations, and pages of one revision only."""
+    counts = gt_prf(spark, d).withColumn("case", F.col("page_number"))
+    one_sided = page_level_changes(spark, d).select(F.col("page_number").alias("case"), F.lit("error_page").alias("status"), F.col("change_type").alias("error"))
+    return evaluation.failures(one_sided, counts, judged_answers(spark, d)).select("kind", "subject", "n")
 
 
 # records and retrieval
@@ -493,7 +499,39 @@ def scorecard_compare(spark, d):
 
 @query
 def judge_means(spark, d):
-    return views.read(spark, d, "labels").agg(F.avg("quality").alias("fact_accuracy"), F.avg("toxic").alias("refusal_rate"), F.every(F.col("quality") >= 0).alias("all_gates"), F.count(F.lit(1)).alias("n"))
+    return evaluation.judge_means(judged_answers(spark, d))
+
+
+@query
+def all_gates(spark, d):
+    means = evaluation.judge_means(judged_answers(spark, d))
+    values = means.select(F.explode(F.create_map(*[x for c in means.columns[:3] for x in (F.lit(c), F.col(c).cast("double"))])).alias("metric", "value"))
+    least = spark.createDataFrame([("chat_fact_accuracy", 0.0), ("citation_precision", 0.4), ("citation_groundedness", 1.1)], "metric string, gate double")
+    return evaluation.all_gates(evaluation.gates(values, least)).select("all_gates_passed", F.array_join("failed", ",").alias("failed"))
+
+
+@query
+def retrieval_checks(spark, d):
+    """Whether a question's first five records have its first word of five letters or more."""
+    first = retrieval.ranked(similar(spark, d, retrieval.word_grams), "qid", "item_id", 10).join(corpus(spark, d), "item_id")
+    hits = first.select(F.col("qid").alias("check_id"), (F.col("rank") + 1).alias("position"), "text", F.array().cast("array<string>").alias("identifiers"), F.when(F.col("item_id") % 2 == 0, "rev_a").otherwise("rev_b").alias("source_family"))
+    asked = questions(spark, d).select(F.col("qid").alias("check_id"), F.regexp_extract("text", r"([A-Za-z]{5,})", 1).alias("must"), F.when(F.col("qid") % 2 == 0, F.array(F.lit("rev_a"))).alias("families"))
+    return evaluation.retrieval_hits(hits, asked.filter("must <> ''"))
+
+
+def judged_answers(spark, d):
+    """The assistant's turns as answers to the turns before: facts are the numbers and capitalised words of the question, some are to be refused."""
+    turns = views.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    said = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"]).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    facts = F.slice(F.regexp_extract_all("question", F.lit(r"[A-Za-z]{4,}"), F.lit(0)), 1, 2)
+    cited = F.array(F.concat(F.when(F.col("turn") % 2 == 0, "A:").otherwise("B:"), F.col("conv_id").cast("string")))
+    return evaluation.judged(
+        said.select(
+            F.col("conv_id").alias("case"), "qid", F.coalesce("text", F.lit("")).alias("answer"), (F.length(F.coalesce("text", F.lit(""))) < 40).alias("unsupported"), cited.alias("cited"), F.array("question").alias("quotes"),
+            F.coalesce(facts, F.array().cast("array<string>")).alias("facts"), F.when(F.col("conv_id") % 3 == 0, F.col("conv_id") % 2 == 0).alias("expect_unsupported"), F.array(F.lit("B:")).alias("prefixes"),
+        )
+    )
 
 
 @query
@@ -513,8 +551,7 @@ def last_stage_latency(spark, d):
 
 @query
 def html_escape(spark, d):
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 0)
-    return views.read(spark, d, "pages").select("page_id", text.escape_html(title).alias("escaped"))
+    return views.read(spark, d, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -146,9 +147,18 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+# Absolute paths in texts, and what stands in their place
+PATHS, REDACTED = (r"(?i)\b[A-Z]:[\\/][^\s,;\"']+", r"(?<![\w:])/(?:[^/\s]+/)+[^\s,;\"']*"), "<redacted-path>"
+
+
 def redact_paths(text: Column) -> Column:
-    """Absolute paths in error texts become <path>."""
-    return F.regexp_replace(text, r"(?:[A-Za-z]:\\|/)(?:[^\s'\":<>|]+[\\/])+[^\s'\":<>|]*", "<path>")
+    """A text without absolute paths."""
+    return reduce(lambda t, pattern: F.regexp_replace(t, pattern, REDACTED), PATHS, text)
+
+
+def without_paths(text: str) -> str:
+    """The same on the driver."""
+    return reduce(lambda t, pattern: re.sub(pattern, REDACTED, t), PATHS, text)
 
 
 def valid_request_id(text: Column) -> Column:

@@ -2,75 +2,81 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
 
+import numpy as np
 
-def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of a least-cost assignment of a dense matrix, by shortest augmenting paths with potentials."""
-    turned = cost.shape[0] > cost.shape[1]
-    c = cost.T if turned else cost
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner, way = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    for i in range(1, n + 1):
-        owner[0], j = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j] = True
-            k = owner[j]
-            free = np.flatnonzero(~used[1:]) + 1
-            through = c[k - 1, free - 1] - u[k] - v[free]
-            better = through < least[free]
-            least[free[better]] = through[better]
-            way[free[better]] = j
-            to = free[least[free].argmin()]
-            step = least[to]
-            u[owner[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j = to
-            if owner[j] == 0:
-                break
-        while j:
-            owner[j] = owner[way[j]]
-            j = way[j]
-    columns = np.flatnonzero(owner[1:])
-    rows = owner[1:][columns] - 1
-    order = np.argsort(rows)
-    rows, columns = rows[order], columns[order]
-    return (columns, rows) if turned else (rows, columns)
+#: Scores are compared in millionths. Of assignments with equal sums, that with the larger sum of ties is taken.
+SCALE, TIES = 1_000_000, 1 << 16
+_UNIT = 1 << 20
 
 
-def best_pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Indexes of the edges (a[k], b[k], score[k] > 0) of a matching with the largest sum of scores.
+def weights(score: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """What an edge adds to an assignment, as an integer; tie: from 0 to TIES - 1."""
+    return np.rint(score * SCALE).astype(np.int64) * _UNIT + tie.astype(np.int64) % TIES
 
-    Each connected component is solved alone, which gives the same sum. Ends are taken in their sorted order, so
-    equally good matchings are told apart by it.
-    """
-    left, a = np.unique(a, return_inverse=True)
-    right, b = np.unique(b, return_inverse=True)
-    parent = np.arange(len(left) + len(right))
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def best_pairs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indexes of the edges (a[k], b[k], weight[k] > 0) of a matching with the largest sum of weights.
 
-    for x, y in zip(a.tolist(), (b + len(left)).tolist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    component = np.array([find(x) for x in a.tolist()])
-    chosen = []
-    for own in np.split(np.argsort(component, kind="stable"), np.flatnonzero(np.diff(np.sort(component))) + 1):
-        if len(own) == 1:
-            chosen.append(own[0])
-            continue
-        x, i = np.unique(a[own], return_inverse=True)
-        y, j = np.unique(b[own], return_inverse=True)
-        cost, edge = np.ones((len(x), len(y))), np.full((len(x), len(y)), -1)
-        cost[i, j], edge[i, j] = 1.0 - score[own], own
-        rows, columns = solve(cost)
-        chosen += [k for k in edge[rows, columns] if k >= 0]
-    return np.array(sorted(chosen), np.int64)
+    Each end of side a in turn takes the cheapest augmenting path over the edges that there are, to a free end of
+    side b or to an end of side a that is left alone. Potentials keep the paths' steps at no negative cost, so the
+    search stays where it begins, and its memory grows with the edges, not with the ends of both sides.
+    """
+    keep = np.flatnonzero(weight > 0)
+    left, x = np.unique(a[keep], return_inverse=True)
+    right, y = np.unique(b[keep], return_inverse=True)
+    order = np.lexsort((-weight[keep], x))
+    begin = np.searchsorted(x[order], np.arange(len(left) + 1)).tolist()
+    ends, edge = y[order].tolist(), keep[order].tolist()
+    most = int(weight[keep].max()) if len(keep) else 0
+    cost = (most - weight[keep][order]).tolist()
+    alone = most  # what it costs an end of side a to have no edge
+    u, v = [0] * len(left), [0] * len(right)
+    owner: list[int] = [-1] * len(right)
+    taken: list[int] = [-1] * len(left)  # the edge's place in order
+    for start in range(len(left)):
+        near: dict[int, int] = {}
+        came: dict[int, tuple[int, int]] = {}
+        done: list[int] = []
+        heap: list[tuple[int, int]] = []
+        at, so_far = start, 0
+        stop, end = (alone - u[start], None)
+        give_up = start
+        while True:
+            if (cheaper := so_far + alone - u[at]) < stop:
+                stop, give_up = cheaper, at
+            base = so_far - u[at]
+            for k in range(begin[at], begin[at + 1]):
+                j = ends[k]
+                through = base + cost[k] - v[j]
+                if through < stop and through < near.get(j, stop):
+                    near[j], came[j] = through, (at, k)
+                    heapq.heappush(heap, (through, j))
+            while heap and heap[0][0] != near[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= stop:
+                break
+            so_far, j = heapq.heappop(heap)
+            near[j] = -1 - so_far  # done
+            if owner[j] < 0:
+                stop, end = so_far, j
+                break
+            done.append(j)
+            at = owner[j]
+        u[start] += stop
+        for j in done:
+            gap = stop - (-1 - near[j])
+            v[j] -= gap
+            u[owner[j]] += gap
+        if end is None:  # give_up is left alone, and what it had goes to the one that came for it
+            if give_up == start:
+                continue
+            end, taken[give_up] = ends[taken[give_up]], -1
+        while True:
+            at, k = came[end]
+            owner[end], before, taken[at] = at, taken[at], k
+            if at == start:
+                break
+            end = ends[before]
+    return np.array(sorted(edge[k] for k in taken if k >= 0), np.int64)

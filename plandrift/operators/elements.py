@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import Code, failing
 from ..functions import geometry, text
 from ..limits import DEFAULTS
 
 
 def build(rows: DataFrame, pid: Column, page: str = "page_number") -> DataFrame:
-    """rows (raw_text, x0, y0, x1, y1, page) with normalized_text, identifiers, kind, element_id and grid_region."""
+    """rows (raw_text, x0, y0, x1, y1, page, optionally kind_override, what a reader knows of the kind) with normalized_text, identifiers, kind, element_id and grid_region."""
     out = rows.withColumn("normalized_text", text.normalise(F.col("raw_text")))
     out = out.withColumn("identifiers", text.identifiers(F.col("normalized_text")))
-    out = out.withColumn("kind", text.kind(F.col("normalized_text"), F.col("identifiers")))
+    read = text.kind(F.col("normalized_text"), F.col("identifiers"))
+    known = F.col("kind_override") if "kind_override" in rows.columns else F.lit(None).cast("string")
+    out = out.withColumn("kind", F.when((known == "geometry_cluster") & (F.col("normalized_text") != ""), read).otherwise(F.coalesce(known, read)))
     box = geometry.box()
     return out.withColumns(
         {
@@ -37,14 +40,16 @@ def limits(elements: DataFrame, pages: DataFrame, key: str, most: dict[str, int]
 
 def enforce(checked: DataFrame) -> DataFrame:
     """The rows of ``limits``; reading one that exceeds a ceiling raises."""
-    return checked.withColumn("exceeded", F.when(F.col("exceeded") != "", F.raise_error(F.concat(F.lit("resource_limit: "), F.col("exceeded"))).cast("string")).otherwise(F.col("exceeded")))
+    return checked.withColumn("exceeded", F.when(F.col("exceeded") != "", failing(Code.LIMIT, F.col("exceeded"))).otherwise(F.col("exceeded")))
 
 
 def require_unique(elements: DataFrame, *key: str) -> DataFrame:
-    """elements; reading a key that comes twice raises."""
-    twice = elements.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    bad = twice.select(F.assert_true(F.lit(False), F.concat_ws(" ", F.lit("duplicate id"), *map(F.col, key))).alias("_bad"))
-    return elements if bad.isEmpty() else elements
+    """elements with each key once; a key that comes twice can't be read without an error."""
+    from pyspark.sql import Window
+
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    twice = failing(Code.CORRUPT, F.concat_ws(" ", F.lit("not unique:"), *[F.col(k).cast("string") for k in key]))
+    return elements.withColumn("_once", F.when(n > 1, twice).otherwise("")).filter("_once = ''").drop("_once")
 
 
 def vector_clusters(boxes: DataFrame, page: str, cell: float = 1 / 24, fewest: int = 3, least_area: float = 20.0, most_area: float = 0.7, most: int = 80, page_area: float = 1.0) -> DataFrame:

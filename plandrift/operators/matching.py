@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry, similarity
 from ..limits import CANDIDATE_RADII, MIN_MATCH_SCORE, SPATIAL_RADIUS, WEIGHTS
-from .assignment import best_pairs
+from .assignment import best_pairs, weights
 
 # Kinds that may stand for one another
 COMPATIBLE = {
@@ -43,8 +43,12 @@ def semantic(elements: DataFrame, *side: str) -> DataFrame:
 
 
 def sides(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the key and FIELDS under names ending in _a and _b."""
-    named = lambda rows, s: rows.select(*key, *[F.col(f).alias(f"{f}_{s}") for f in FIELDS])
+    """Both sides with the key, FIELDS and, where there is one, extraction_confidence under names ending in _a and _b."""
+
+    def named(rows: DataFrame, s: str) -> DataFrame:
+        sure = [F.col("extraction_confidence").alias(f"extraction_{s}")] if "extraction_confidence" in rows.columns else []
+        return rows.select(*key, *[F.col(f).alias(f"{f}_{s}") for f in FIELDS], *sure)
+
     return named(a, "a"), named(b, "b")
 
 
@@ -118,37 +122,45 @@ def best_identifier_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def tie(a: Column, b: Column) -> Column:
+    """A number below TIES by which equally good assignments are told apart."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", a, b).cast("binary")), 1, 4), 16, 10).cast("int")
+
+
 def assigned(pairs: DataFrame, key: list[str], least: float = MIN_MATCH_SCORE) -> DataFrame:
     """The scored pairs of the best one-to-one assignment of each page; the threshold holds after solving.
 
-    A task solves all pages that it holds, which are apart from each other as no edge leads from one to the other.
+    Scores are compared in millionths, and equal sums are told apart by ``tie``, so the result depends on nothing else.
+    A task solves the pages that it holds one after another, streaming through them in order.
     """
     columns, schema = pairs.columns, pairs.schema
-    page = F.xxhash64(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            ends = [np.array([f"{p}|{i}" for p, i in zip(rows["_page"].to_pylist(), rows[f"element_id_{s}"].to_pylist())]) for s in "ab"]
-            score = rows["score"].to_numpy()
-            chosen = best_pairs(*ends, score)
+            score, ties = rows["score"].to_numpy(), rows["_tie"].to_numpy()
+            ends = [np.unique(rows["_page"].to_numpy(), return_inverse=True)[1]] * 2
+            for k, side in enumerate("ab"):  # an end is a page and an element, numbered
+                own = np.unique(np.array(rows[f"element_id_{side}"].to_pylist(), object).astype(str), return_inverse=True)[1]
+                ends[k] = ends[k] * (int(own.max()) + 1) + own
+            chosen = best_pairs(*ends, weights(score, ties))
             chosen = chosen[score[chosen] >= least]
             yield from rows.select(columns).take(chosen).to_batches()
 
         for batch in batches:  # in the order of pages: all but the last page of what is held is complete
-            held.append(batch)
-            pages = np.concatenate([b.column(len(columns)).to_numpy() for b in held])
-            cut = int(np.searchsorted(pages, pages[-1]))
-            if cut:
-                rows = pa.Table.from_batches(held)
-                yield from solved(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
+            pages = batch["_page"].to_numpy()
+            cut = int(np.searchsorted(pages, pages[-1])) if len(pages) else 0
+            if cut or held and len(pages) and held[-1]["_page"][-1].as_py() != pages[-1]:
+                yield from solved(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
         if held:
             yield from solved(pa.Table.from_batches(held))
 
-    ordered = pairs.withColumn("_page", page).repartition(*key).sortWithinPartitions("_page", "element_id_a", "element_id_b")
-    return ordered.mapInArrow(run, schema)
+    marked = pairs.withColumns({"_page": F.xxhash64(*key), "_tie": tie(F.col("element_id_a"), F.col("element_id_b"))})
+    return marked.repartition(*key).sortWithinPartitions("_page").mapInArrow(run, schema)
 
 
 def unmatched(elements: DataFrame, matches: DataFrame, key: list[str], side: str) -> DataFrame:

@@ -34,6 +34,30 @@ def without_content(rows: DataFrame, *columns: str) -> DataFrame:
     return out
 
 
+# What of a file's detection may be logged
+DETECTED = ("adapter", "format_family", "image_coverage_est", "page_count", "size", "text_chars_sample", "vector_count_sample")
+
+
+def allowed_only(signals: Column, allowed: tuple[str, ...] = DETECTED) -> Column:
+    """A map without the keys that may not be logged."""
+    return F.map_filter(signals, lambda k, v: k.isin(*allowed))
+
+
+def write_trace(spans: DataFrame, path: str, *run: str) -> None:
+    """Spans (run, name, parent, start, end: seconds) with duration_ms, and each run's totals, as JSON lines below path."""
+    timed = spans.withColumn("duration_ms", duration_ms(F.col("start"), F.col("end")))
+    timed.write.mode("overwrite").json(f"{path}/spans")
+    trace_total(timed, *run).write.mode("overwrite").json(f"{path}/totals")
+
+
+def write_metrics(counters: DataFrame, latencies: DataFrame, path: str, run: str) -> None:
+    """One JSON line for each run: its counters (run, counters: a map), added up, and the last latency of its stages (run, stage, latency_ms)."""
+    added = counters.select(run, F.explode("counters").alias("k", "v")).groupBy(run, "k").agg(F.sum("v").alias("v"))
+    maps = added.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("counters"))
+    stages = latencies.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "latency_ms")))).alias("stage_latency_ms"))
+    maps.join(stages, run, "full").write.mode("overwrite").json(path)
+
+
 def merged_counters(a: Column, b: Column) -> Column:
     """Two maps of counts added up."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))

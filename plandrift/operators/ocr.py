@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import Code, failing
 from .folds import ddl, fold
 
 
@@ -20,6 +21,13 @@ def confident(words: DataFrame, least: float = 0.4) -> DataFrame:
     return words.withColumn("confidence", share).filter((F.col("confidence") >= least) & (F.trim("text") != ""))
 
 
+def bounded(words: DataFrame, page: list[str], most: int) -> DataFrame:
+    """words; those of a page that has more than ``most`` can't be read without an error."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*page))
+    over = failing(Code.LIMIT, F.concat(n.cast("string"), F.lit(" words on a page")))
+    return words.withColumn("_fits", F.when(n > most, over).otherwise("")).filter("_fits = ''").drop("_fits")
+
+
 def rows(words: DataFrame, key: list[str]) -> DataFrame:
     """words with row_no: each in reading order joins the first row that it overlaps by more than half of the lower height.
 

@@ -7,6 +7,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import Code, failing
 from ..functions import similarity, text
 from ..limits import COMPATIBLE
 from .folds import ddl, fold
@@ -56,7 +57,7 @@ def assess(pairs: DataFrame, threshold: float = COMPATIBLE) -> DataFrame:
 
 def enforce(assessed: DataFrame, mode: str = "warn") -> DataFrame:
     """Adds the action that a mode takes; in mode strict, reading an incompatible pair raises."""
-    other = {"force": F.lit("forced_continue"), "strict": F.raise_error(F.lit("pair_mismatch: not a plausible revision pair")).cast("string")}.get(mode, F.lit("continue_with_warning"))
+    other = {"force": F.lit("forced_continue"), "strict": failing(Code.MISMATCH, F.lit("not a plausible revision pair"))}.get(mode, F.lit("continue_with_warning"))
     return assessed.withColumn("action", F.when(F.col("compatible"), "continue").otherwise(other))
 
 

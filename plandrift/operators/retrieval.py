@@ -50,14 +50,14 @@ def normed(counts: DataFrame, key: list[str]) -> DataFrame:
     return raw.join(norms, key).select(*key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def query_weights(questions: DataFrame, grams, idf: DataFrame, key: list[str]) -> DataFrame:
-    tf = questions.select(*key, F.explode(grams(F.col("text"))).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return normed(tf.join(idf, "term"), key)
+def query_weights(questions: DataFrame, grams, idf: DataFrame, key: list[str], by: list[str] = []) -> DataFrame:
+    tf = questions.select(*by, *key, F.explode(grams(F.col("text"))).alias("term")).groupBy(*by, *key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return normed(tf.join(idf, [*by, "term"]), [*by, *key])
 
 
-def cosine(queries: DataFrame, weights: DataFrame, query_key: str, key: str) -> DataFrame:
+def cosine(queries: DataFrame, weights: DataFrame, query_key: str, key: str, by: list[str] = []) -> DataFrame:
     """(query, key, similarity) for those that share a term: an inverted-index join."""
-    return queries.withColumnRenamed("weight", "w").join(weights, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("weight")).alias("similarity"))
+    return queries.withColumnRenamed("weight", "w").join(weights, [*by, "term"]).groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("weight")).alias("similarity"))
 
 
 def ranked(similar: DataFrame, query_key: str, key: str, depth: int = TOP_K * LISTED) -> DataFrame:
@@ -112,27 +112,41 @@ def nearby_identifiers(changes: DataFrame, elements: DataFrame, key: list[str],
     return near.groupBy(*key, "change_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("identifiers")))).alias("nearby"))
 
 
-def records(elements: DataFrame, pages: DataFrame, family: str) -> DataFrame:
-    """Records of one revision: its elements that have text or are geometry, and its pages' texts."""
+#: The columns of a record to search, beside the key of its run.
+RECORD = ("source_id", "source_family", "page", "text", "entity_type", "identifiers", "x0", "y0", "x1", "y1", "change_type", "confidence_band")
+
+
+def _record(rows: DataFrame, key: list[str], **values: Column) -> DataFrame:
+    kinds = {"page": "bigint", "identifiers": "array<string>"} | dict.fromkeys(("x0", "y0", "x1", "y1"), "double")
+    return rows.select(*key, *[values.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in RECORD])
+
+
+def records(elements: DataFrame, pages: DataFrame, family: str, key: list[str] = []) -> DataFrame:
+    """Records of one revision: its elements that have text or are geometry, and its pages' texts (page_number, page_text)."""
     prefix = {"rev_a": "A", "rev_b": "B"}[family]
-    page = F.col("page_number").cast("string")
-    own = elements.filter((F.col("normalized_text") != "") | (F.col("kind") == "geometry_cluster")).select(
-        F.concat(F.lit(f"{prefix}:p"), page, F.lit(":"), F.col("element_id")).alias("source_id"),
-        F.lit(family).alias("source_family"),
-        F.col("page_number").alias("page"),
-        F.when(F.col("normalized_text") != "", F.col("normalized_text")).otherwise(F.concat(F.lit("["), F.col("kind"), F.lit("]"))).alias("text"),
-        F.col("kind").alias("entity_type"),
-        "identifiers",
-    )
-    texts = pages.filter(F.coalesce("page_text", F.lit("")) != "").select(
-        F.concat(F.lit(f"{prefix}:p"), page, F.lit(":page_text")).alias("source_id"),
-        F.lit(family).alias("source_family"),
-        F.col("page_number").alias("page"),
-        F.substring("page_text", 1, 2000).alias("text"),
-        F.lit("page_text").alias("entity_type"),
-        F.array().cast("array<string>").alias("identifiers"),
-    )
-    return own.unionByName(texts)
+    page, box = F.col("page_number"), {c: F.col(c) for c in ("x0", "y0", "x1", "y1")}
+    named = lambda last: F.concat(F.lit(f"{prefix}:p"), page.cast("string"), F.lit(":"), last)
+    own = elements.filter((F.col("normalized_text") != "") | (F.col("kind") == "geometry_cluster"))
+    body = F.when(F.col("normalized_text") != "", F.col("normalized_text")).otherwise(F.concat(F.lit("["), F.col("kind"), F.lit("]")))
+    drawn = _record(own, key, source_id=named(F.col("element_id")), source_family=F.lit(family), page=page, text=body, entity_type=F.col("kind"), identifiers=F.col("identifiers"), **box)
+    texts = pages.filter(F.coalesce("page_text", F.lit("")) != "")
+    return drawn.unionByName(_record(texts, key, source_id=named(F.lit("page_text")), source_family=F.lit(family), page=page, text=F.substring("page_text", 1, 2000), entity_type=F.lit("page_text"), identifiers=F.array()))
+
+
+def change_records(changes: DataFrame, key: list[str] = []) -> DataFrame:
+    """Records of changes with ``nearby``, the identifiers around them."""
+    nearby = F.coalesce("nearby", F.array().cast("array<string>"))
+    body = change_record_text(F.col("description"), F.col("before"), F.col("after"), F.col("change_type"), F.col("entity_type"), nearby)
+    same = {c: F.col(c) for c in ("x0", "y0", "x1", "y1", "entity_type", "change_type", "confidence_band")}
+    return _record(changes, key, source_id=F.concat(F.lit("D:"), F.col("delta_item_id")), source_family=F.lit("delta"), page=F.col("page_number"), text=body, identifiers=nearby, **same)
+
+
+def summary_records(summaries: DataFrame, key: list[str]) -> DataFrame:
+    """A record for each run's counts: (key, delta_id, total_changes, by_change_type, by_confidence_band, suppressed)."""
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"))), ", ")
+    body = F.concat(F.lit("Delta summary between "), F.concat_ws(" and ", *key), F.lit(": total changes "), F.col("total_changes").cast("string"), F.lit("; "), listed("by_change_type"), F.lit("; "), listed("by_confidence_band"), F.lit("; suppressed "), F.col("suppressed").cast("string"))
+    name = F.concat(F.lit("D:"), F.coalesce("delta_id", F.lit("none")), F.lit(":summary"))
+    return _record(summaries, key, source_id=name, source_family=F.lit("delta"), text=body, entity_type=F.lit("summary"), identifiers=F.array())
 
 
 def change_record_text(describe: Column, before: Column, after: Column, kind: Column, entity: Column, nearby: Column) -> Column:

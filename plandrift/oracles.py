@@ -42,7 +42,7 @@ def kind(t: str, ids: str) -> str:
 
 
 def elements(rows: str, name: str = "el") -> str:
-    return f"""{name}0 AS (SELECT *, {normal('raw_text')} AS normalized_text FROM {rows}), {name}1 AS (SELECT *, {identified('normalized_text')} AS ids_ FROM {name}0),
+    return f"""{name}0 AS (SELECT *, {normal('raw_text')} AS normalized_text FROM {rows}), {name}1 AS MATERIALIZED (SELECT *, {identified('normalized_text')} AS ids_ FROM {name}0),
     {name}2 AS (SELECT * EXCLUDE (ids_), {first_seen('ids_')} AS identifiers FROM {name}1), {name} AS (SELECT *, {kind('normalized_text', 'identifiers')} AS kind FROM {name}2)"""
 
 
@@ -54,7 +54,7 @@ def grid(down: bool = True, mark: str = "~", p: str = "") -> str:
 
 
 ELEMENT_ID = "concat('e_', substr(sha1(concat_ws('|', rev, page_number, kind, normalized_text, concat('(', " + ", ', ', ".join(f"CAST(round_even({v} / 0.01, 0) AS BIGINT)" for v in ("x0", "y0", "x1", "y1")) + ", ')'))), 1, 12))"
-SHEET = f"WITH t AS ({TAG_SHEET}), {elements('t')}, e AS (SELECT *, {ELEMENT_ID} AS element_id FROM el), a AS (SELECT * FROM e WHERE rev = 'A'), b AS (SELECT * FROM e WHERE rev = 'B')"
+SHEET = f"WITH t AS MATERIALIZED ({TAG_SHEET}), {elements('t')}, e AS MATERIALIZED (SELECT *, {ELEMENT_ID} AS element_id FROM el), a AS MATERIALIZED (SELECT * FROM e WHERE rev = 'A'), b AS MATERIALIZED (SELECT * FROM e WHERE rev = 'B')"
 
 
 def cut(a: str, b: str, side: str) -> str:
@@ -96,9 +96,9 @@ def ratio(a: str, b: str) -> str:
 
 #: Stages from rows p with text_1, text_2 to token_set, the token-set ratio.
 TOKEN_SET = rf"""
-    w1 AS (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(text_1, '\s+'), lambda x: x <> ''))) AS w_1, list_sort(list_distinct(list_filter(regexp_split_to_array(text_2, '\s+'), lambda x: x <> ''))) AS w_2 FROM p),
-    w2 AS (SELECT *, array_to_string(list_filter(w_1, lambda x: list_contains(w_2, x)), ' ') AS w_b, array_to_string(list_filter(w_1, lambda x: NOT list_contains(w_2, x)), ' ') AS o_1, array_to_string(list_filter(w_2, lambda x: NOT list_contains(w_1, x)), ' ') AS o_2 FROM w1),
-    w3 AS (SELECT *, length(w_b) AS s, length(o_1) AS la, length(o_2) AS lb, CASE WHEN length(w_b) > 0 THEN 1 ELSE 0 END AS gap, {lcs('o_1', 'o_2')} AS c FROM w2),
+    w1 AS MATERIALIZED (SELECT *, list_sort(list_distinct(list_filter(regexp_split_to_array(text_1, '\s+'), lambda x: x <> ''))) AS w_1, list_sort(list_distinct(list_filter(regexp_split_to_array(text_2, '\s+'), lambda x: x <> ''))) AS w_2 FROM p),
+    w2 AS MATERIALIZED (SELECT *, array_to_string(list_filter(w_1, lambda x: list_contains(w_2, x)), ' ') AS w_b, array_to_string(list_filter(w_1, lambda x: NOT list_contains(w_2, x)), ' ') AS o_1, array_to_string(list_filter(w_2, lambda x: NOT list_contains(w_1, x)), ' ') AS o_2 FROM w1),
+    w3 AS MATERIALIZED (SELECT *, length(w_b) AS s, length(o_1) AS la, length(o_2) AS lb, CASE WHEN length(w_b) > 0 THEN 1 ELSE 0 END AS gap, {lcs('o_1', 'o_2')} AS c FROM w2),
     ts AS (SELECT * EXCLUDE (w_1, w_2, w_b, o_1, o_2, s, la, lb, gap, c), CASE WHEN len(w_1) = 0 OR len(w_2) = 0 THEN 0.0 WHEN s > 0 AND (la = 0 OR lb = 0) THEN 100.0
         ELSE CAST(100.0 AS DOUBLE) * greatest(CAST(1.0 AS DOUBLE) - CAST(la + lb - 2 * c AS DOUBLE) / greatest(s + gap + la + s + gap + lb, 1),
             CASE WHEN s > 0 THEN CAST(1.0 AS DOUBLE) - CAST(gap + la AS DOUBLE) / (s + s + gap + la) ELSE 0.0 END, CASE WHEN s > 0 THEN CAST(1.0 AS DOUBLE) - CAST(gap + lb AS DOUBLE) / (s + s + gap + lb) ELSE 0.0 END) END AS token_set FROM w3)"""
@@ -112,7 +112,7 @@ KIND_SCORE = f"CASE WHEN {_kinds} THEN 1.0 WHEN {_near_kinds} THEN 0.7 ELSE 0.0
 _wa, _wb = (f"(greatest(CAST(1e-6 AS DOUBLE), {s}.x1 - {s}.x0) * greatest(CAST(1e-6 AS DOUBLE), {s}.y1 - {s}.y0))" for s in "ab")
 #: Stages from rows p to sc with the features and the score; every tag of the sheet has one identifier at most.
 SCORED = f"""{TOKEN_SET},
-    f1 AS (SELECT *, CASE WHEN len(a.identifiers) = 0 OR len(b.identifiers) = 0 THEN 0.0 WHEN {_ids[0]} = {_ids[1]} THEN 1.0 ELSE ({ratio(*_ids)}) / 100 END AS identifier,
+    f1 AS MATERIALIZED (SELECT *, CASE WHEN len(a.identifiers) = 0 OR len(b.identifiers) = 0 THEN 0.0 WHEN {_ids[0]} = {_ids[1]} THEN 1.0 ELSE ({ratio(*_ids)}) / 100 END AS identifier,
         CAST(0.6 AS DOUBLE) * token_set / 100 + CAST(0.4 AS DOUBLE) * ({ratio('text_1', 'text_2')}) / 100 AS text_, CAST(0.6 AS DOUBLE) * ({iou('a', 'b')}) + CAST(0.4 AS DOUBLE) * greatest(CAST(0 AS DOUBLE), CAST(1.0 AS DOUBLE) - {apart('a', 'b')} / CAST(0.2 AS DOUBLE)) AS spatial,
         CAST({KIND_SCORE} AS DOUBLE) AS type_, CAST(1.0 AS DOUBLE) - least(CAST(1.0 AS DOUBLE), abs({_wa} - {_wb}) / greatest({_wa}, {_wb})) AS geometry, {apart('a', 'b')} AS distance FROM ts),
     f2 AS (SELECT *, CAST(0.32 AS DOUBLE) * identifier + CAST(0.24 AS DOUBLE) * text_ + CAST(0.22 AS DOUBLE) * spatial + CAST(0.12 AS DOUBLE) * type_ + CAST(0.10 AS DOUBLE) * geometry AS total FROM f1 WHERE type_ > 0),
@@ -134,24 +134,48 @@ TYPED = f"""{SCORED}, ty AS (SELECT *, CASE WHEN distance > 0.018 AND {_differ}
 _band = "CASE WHEN confidence >= 0.78 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' ELSE 'low' END"
 
 
-def _one_sided(side: str, other: str, name: str, verb: str) -> str:
+def _one_sided(side: str, other: str, name: str, verb: str, alone: str | None = None) -> str:
+    alone = alone or f"NOT EXISTS (SELECT 1 FROM {other} o WHERE o.page_number = {side}.page_number AND o.seq = {side}.seq)"
     known = "CASE WHEN len(identifiers) > 0 THEN 1.0 ELSE 0.0 END"
     base = f"CAST(0.15 + 0.135 + 0.2 + 0.225 + 0.05 AS DOUBLE) + CAST(0.1 AS DOUBLE) * {known}"
     return f"""SELECT page_number, seq, '{name}' AS change_type, kind AS entity_type, {'normalized_text' if side == 'a' else 'NULL'} AS before, {'normalized_text' if side == 'b' else 'NULL'} AS after,
         concat('{verb} ', kind, ': ', normalized_text, ' at sheet ', CASE WHEN page_number = 0 THEN 1 ELSE page_number END, ', grid ', {grid()}, '.') AS description, CASE WHEN len(identifiers) > 0 THEN least(CAST(1.0 AS DOUBLE), {base} + CAST(0.1 AS DOUBLE)) ELSE {base} END AS confidence,
         concat('D-', upper(substr(sha1(concat_ws('|', 'A', 'B', '{name}', concat(element_id, normalized_text))), 1, 8))) AS delta_item_id, x0, y0, x1, y1
-        FROM {side} WHERE NOT {noise('normalized_text')} AND NOT EXISTS (SELECT 1 FROM {other} o WHERE o.page_number = {side}.page_number AND o.seq = {side}.seq)"""
+        FROM {side} WHERE NOT {noise('normalized_text')} AND {alone}"""
 
 
 _quoted = "concat({verb}, b.kind, ' from ''', text_1, ''' to ''', text_2, ''' on sheet ', CASE WHEN page_number = 0 THEN 1 ELSE page_number END, ', grid ', " + grid(p="b.") + ", '.')"
-CHANGES = f"""{SHEET}, p AS ({PAIRED}), {TYPED},
-    mc AS (SELECT page_number, seq, change_type, b.kind AS entity_type, text_1 AS before, text_2 AS after,
+_MATCHED = f"""SELECT page_number, seq, change_type, b.kind AS entity_type, text_1 AS before, text_2 AS after,
         CASE change_type WHEN 'moved' THEN concat('Moved ', b.kind, ': ', text_2, ' on sheet ', CASE WHEN page_number = 0 THEN 1 ELSE page_number END, ', grid ', {grid(p='b.')}, '.') WHEN 'moved_modified' THEN {_quoted.format(verb="'Moved and modified '")} ELSE {_quoted.format(verb="'Modified '")} END AS description,
         CAST(0.15 AS DOUBLE) + CAST(0.135 AS DOUBLE) + CAST(0.2 AS DOUBLE) + CAST(0.3 AS DOUBLE) * round(score, 4) + CAST(0.1 AS DOUBLE) * identifier + CAST(0.1 AS DOUBLE) * (CAST(0.5 AS DOUBLE) * (text_ + spatial)) AS confidence,
         concat('D-', upper(substr(sha1(concat_ws('|', 'A', 'B', change_type, a.element_id, b.element_id, change_type, text_1, text_2)), 1, 8))) AS delta_item_id, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1
-        FROM ty WHERE change_type <> 'unchanged' AND NOT ({noise('text_1')} AND {noise('text_2')})),
+        FROM ty WHERE change_type <> 'unchanged' AND NOT ({noise('text_1')} AND {noise('text_2')})"""
+_BANDED = f"SELECT *, {_band} AS confidence_band, {_band} <> 'high' AS review_required FROM ch0"
+CHANGES = f"""{SHEET}, p AS MATERIALIZED ({PAIRED}), {TYPED}, mc AS ({_MATCHED}),
     ch0 AS (SELECT * FROM mc UNION ALL {_one_sided('a', 'b', 'removed', 'Removed')} UNION ALL {_one_sided('b', 'a', 'added', 'Added')}),
-    ch AS (SELECT *, {_band} AS confidence_band, {_band} <> 'high' AS review_required FROM ch0)"""
+    ch AS MATERIALIZED ({_BANDED})"""
+
+#: The best one-to-one pairs of a page, by trying the elements of revision A one after the other (a page of the sheet has
+#: fourteen at most) with a bit for each element of B that is taken, and keeping the best sum for each set of bits.
+_TIE = "CAST(concat('0x', substr(md5(concat_ws('|', a.element_id, b.element_id)), 1, 4)) AS BIGINT)"
+_STEPS = ", ".join(
+    f"""s{k + 1} AS MATERIALIZED (SELECT page_number, mask, max(total) AS total, arg_max(path, total) AS path FROM (SELECT page_number, mask, total, path FROM s{k}
+        UNION ALL SELECT s.page_number, s.mask | (CAST(1 AS BIGINT) << j), s.total + w, s.path | ((j + 1) << {4 * k}) FROM s{k} s JOIN ix ON s.page_number = ix.page_number WHERE i = {k} AND (s.mask & (CAST(1 AS BIGINT) << j)) = 0) GROUP BY page_number, mask)"""
+    for k in range(15)
+)
+ASSIGNED = f"""{SHEET}, p AS MATERIALIZED ({NEAR}), {SCORED},
+    ix AS MATERIALIZED (SELECT page_number, a.element_id AS ida, b.element_id AS idb, score, CAST(round_even(score * 1000000, 0) AS BIGINT) * 1048576 + {_TIE} AS w,
+        dense_rank() OVER (PARTITION BY page_number ORDER BY a.element_id) - 1 AS i, dense_rank() OVER (PARTITION BY page_number ORDER BY b.element_id) - 1 AS j FROM sc WHERE score > 0),
+    s0 AS MATERIALIZED (SELECT DISTINCT page_number, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS path FROM ix), {_STEPS},
+    won AS MATERIALIZED (SELECT page_number, arg_max(path, total) AS path FROM s15 GROUP BY page_number),
+    mt AS MATERIALIZED (SELECT ix.* FROM ix JOIN won USING (page_number) WHERE ((path >> CAST(4 * i AS BIGINT)) & 15) = j + 1 AND score >= 0.42)"""
+_both = "page_number IN (SELECT page_number FROM a) AND page_number IN (SELECT page_number FROM b)"
+_unmatched = lambda side: f"{_both} AND NOT EXISTS (SELECT 1 FROM mt WHERE mt.page_number = {side}.page_number AND mt.id{side} = {side}.element_id)"
+#: From the assignment's pairs to all changes, in ch.
+DELTA = f"""{ASSIGNED}, tx AS (SELECT sc.* FROM sc JOIN mt ON mt.page_number = sc.page_number AND mt.ida = sc.a.element_id AND mt.idb = sc.b.element_id),
+    ty AS MATERIALIZED (SELECT *, CASE WHEN distance > 0.018 AND {_differ} THEN 'moved_modified' WHEN distance > 0.018 THEN 'moved' WHEN {_differ} THEN 'modified' ELSE 'unchanged' END AS change_type FROM tx),
+    ch0 AS ({_MATCHED} UNION ALL {_one_sided('a', 'b', 'removed', 'Removed', _unmatched('a'))} UNION ALL {_one_sided('b', 'a', 'added', 'Added', _unmatched('b'))}),
+    ch AS MATERIALIZED ({_BANDED})"""
 
 #: Documents' lines; the view D.
 LINES = "WITH l0 AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), d AS (SELECT doc_id, unnest(lines) AS raw_text, generate_subscripts(lines, 1) AS line_no, len(lines) AS n_lines FROM l0)"
@@ -259,6 +283,14 @@ COMPATIBILITY = f"""WITH dp AS ({DOCUMENT_PAIRS}), k0 AS (SELECT *, {normal('tex
         CASE WHEN score >= 0.65 THEN 'continue' ELSE 'continue_with_warning' END AS action FROM k6"""
 _tags = "what changed near "
 
+#: The assistant's turns judged against the questions before them, in jd.
+_squashed = lambda t: rf"regexp_replace(lower({t}), '\s+', '', 'g')"
+JUDGED = f"""j0 AS (SELECT s.conv_id, s.turn, coalesce(s.text, '') AS answer, u.text AS question, (regexp_extract_all(u.text, '[A-Za-z]{{4,}}'))[1:2] AS facts FROM conversations s JOIN conversations u ON u.conv_id = s.conv_id AND u.turn + 1 = s.turn AND u.role = 'user' WHERE s.role = 'assistant'),
+    j1 AS (SELECT *, length(answer) < 40 AS unsupported, CASE WHEN conv_id % 3 = 0 THEN conv_id % 2 = 0 END AS expect_unsupported, coalesce(CASE WHEN conv_id % 3 = 0 THEN conv_id % 2 = 0 END, false) AS refused, concat(conv_id, '/', conv_id * 1000 + turn) AS subject, coalesce(facts, []) AS f FROM j0),
+    jd AS MATERIALIZED (SELECT *, refused OR len(list_filter(f, lambda x: NOT contains({_squashed('answer')}, lower(x)))) = 0 AS fact_ok, unsupported = refused AS refusal_ok, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE 1.0 END AS citation_precision,
+        CASE WHEN refused OR len(f) = 0 THEN 1.0 ELSE CAST(len(list_filter(f, lambda x: contains({_squashed('question')}, lower(x)))) AS DOUBLE) / len(f) END AS groundedness, len(f) > 0 AND NOT refused AS measured FROM j1)"""
+MEANS = "avg(CAST(fact_ok AS INTEGER)) AS chat_fact_accuracy, avg(citation_precision) AS citation_precision, avg(groundedness) AS citation_groundedness"
+
 ORACLES: dict[str, str] = {
     "el_normalize": f"{LINES} SELECT doc_id, line_no, {normal('raw_text')} AS normalized_text FROM d",
     "el_identifiers": f"{SHEET} SELECT rev, page_number, seq, array_to_string(identifiers, ',') AS identifiers FROM e",
@@ -280,16 +312,21 @@ ORACLES: dict[str, str] = {
     "gap_split_lines": f"WITH t AS ({TAG_SHEET}), g AS (SELECT page_number, seq, x0, coalesce(CASE WHEN x0 - lag(x1) OVER (PARTITION BY page_number ORDER BY x0, seq) > CAST(0.035 AS DOUBLE) THEN 1 ELSE 0 END, 0) AS wide FROM t WHERE rev = 'A') SELECT page_number, seq, CAST(sum(wide) OVER (PARTITION BY page_number ORDER BY x0, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_no FROM g",
     "ocr_conf_filter": "WITH w AS (SELECT user_id, value - floor(value / 100) * 100 AS c0, event_type FROM events), c AS (SELECT user_id, CASE WHEN c0 > 1 THEN c0 / 100 ELSE c0 END AS c FROM w WHERE trim(event_type) <> '') SELECT user_id, count(*) AS n_words, CAST(sum(CAST(c AS DECIMAL(18,9))) AS DOUBLE) / count(*) AS mean_confidence FROM c WHERE c >= 0.4 GROUP BY user_id",
     "pair_compat": COMPATIBILITY,
-    "page_similarity": f"WITH dp AS ({DOCUMENT_PAIRS}), p AS (SELECT *, substr(text_a, 1, 62) AS text_1, substr(text_b, 1, 62) AS text_2 FROM dp), {TOKEN_SET} SELECT doc_a, doc_b, least(CAST(1 AS DOUBLE), CASE WHEN source_a <> '' AND source_a = source_b THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CAST(0.15 AS DOUBLE) + CAST(0.15 AS DOUBLE) + CASE WHEN text_1 <> '' AND text_2 <> '' THEN CAST(0.35 AS DOUBLE) * token_set / 100 ELSE 0 END) AS similarity FROM ts",
-    "match_candidates": f"{SHEET}, p AS ({NEAR}) SELECT page_number, a.element_id AS element_id_a, b.element_id AS element_id_b FROM p",
-    "pair_scores": f"{SHEET}, p AS ({NEAR}), {SCORED} SELECT page_number, a.element_id AS element_id_a, b.element_id AS element_id_b, identifier, text_ AS text, spatial, type_ AS type, geometry, score FROM sc WHERE score > 0",
+    "match_candidates": f"{SHEET}, p AS MATERIALIZED ({NEAR}) SELECT page_number, a.element_id AS element_id_a, b.element_id AS element_id_b FROM p",
+    "pair_scores": f"{SHEET}, p AS MATERIALIZED ({NEAR}), {SCORED} SELECT page_number, a.element_id AS element_id_a, b.element_id AS element_id_b, identifier, text_ AS text, spatial, type_ AS type, geometry, score FROM sc WHERE score > 0",
+    "assignment": f"{ASSIGNED} SELECT page_number, ida AS element_id_a, idb AS element_id_b, score FROM mt",
+    "delta_changes": f"""{DELTA}, pg AS (SELECT page_number, bool_or(rev = 'A') AS in_a, bool_or(rev = 'B') AS in_b FROM t GROUP BY 1), px AS (SELECT page_number, CASE WHEN in_a THEN 'removed' ELSE 'added' END AS change_type FROM pg WHERE NOT (in_a AND in_b))
+        SELECT page_number, change_type, entity_type, before, after, description, round(confidence, 4) AS confidence, confidence_band, review_required, delta_item_id, x0, y0, x1, y1 FROM ch
+        UNION ALL SELECT page_number, change_type, 'page', CASE change_type WHEN 'removed' THEN concat('page ', page_number) END, CASE change_type WHEN 'added' THEN concat('page ', page_number) END, concat(CASE change_type WHEN 'added' THEN 'Added' ELSE 'Removed' END, ' page ', page_number, '.'), 0.9, 'high', false, concat('D-', upper(substr(sha1(concat_ws('|', 'A', 'B', change_type, concat('page-', page_number))), 1, 8))), NULL, NULL, NULL, NULL FROM px""",
+    "suppressed_counts": f"""{DELTA}, q AS (SELECT page_number FROM ty WHERE change_type = 'unchanged' OR ({noise('text_1')} AND {noise('text_2')}) UNION ALL SELECT page_number FROM a WHERE {noise('normalized_text')} AND {_unmatched('a')} UNION ALL SELECT page_number FROM b WHERE {noise('normalized_text')} AND {_unmatched('b')})
+        SELECT page_number, count(*) AS n FROM q GROUP BY 1""",
     "page_work": f"{SHEET}, na AS (SELECT page_number, count(*) AS n_a FROM a GROUP BY 1), nb AS (SELECT page_number, count(*) AS n_b FROM b GROUP BY 1) SELECT page_number, n_a, n_b, n_a * n_b AS comparisons, n_a * n_b > 30 AS exceeded FROM na JOIN nb USING (page_number)",
     "page_level_changes": f"""WITH t AS ({TAG_SHEET}), x AS (SELECT page_number, bool_or(rev = 'A') AS in_a, bool_or(rev = 'B') AS in_b FROM t GROUP BY 1), y AS (SELECT page_number, CASE WHEN in_a THEN 'removed' ELSE 'added' END AS change_type FROM x WHERE NOT (in_a AND in_b))
         SELECT page_number, change_type, concat(CASE change_type WHEN 'added' THEN 'Added' ELSE 'Removed' END, ' page ', page_number, '.') AS description, concat('D-', upper(substr(sha1(concat_ws('|', 'A', 'B', change_type, concat('page-', page_number))), 1, 8))) AS delta_item_id FROM y""",
     "kind_compat": f"{SHEET} SELECT a.page_number, a.seq, CAST({KIND_SCORE} AS DOUBLE) AS compatibility FROM a JOIN b USING (page_number, seq)",
-    "classify_truth": f"{SHEET}, p AS ({PAIRED}), {TYPED} SELECT page_number, seq, change_type FROM ty",
+    "classify_truth": f"{SHEET}, p AS MATERIALIZED ({PAIRED}), {TYPED} SELECT page_number, seq, change_type FROM ty",
     "unmatched_anti": f"{SHEET} SELECT page_number, seq, 'removed' AS change_type FROM a ANTI JOIN b USING (page_number, seq) UNION ALL SELECT page_number, seq, 'added' FROM b ANTI JOIN a USING (page_number, seq)",
-    "confidence_bands": f"{CHANGES} SELECT page_number, seq, change_type, round(confidence, 6) AS confidence, confidence_band, review_required FROM ch",
+    "confidence_bands": f"{CHANGES} SELECT page_number, seq, change_type, round(confidence, 4) AS confidence, confidence_band, review_required FROM ch",
     "change_descriptions": f"{CHANGES} SELECT page_number, seq, description, delta_item_id FROM ch",
     "change_summary": f"{CHANGES} SELECT change_type, confidence_band, count(*) AS n FROM ch GROUP BY GROUPING SETS ((change_type), (confidence_band), ())",
     "noise_filter": f"WITH t AS ({TAG_SHEET}), x AS (SELECT raw_text FROM t UNION ALL SELECT unnest({listed(_LABELS)})) SELECT raw_text, count(*) AS n, {noise('raw_text')} AS noise FROM x GROUP BY raw_text",
@@ -298,7 +335,10 @@ ORACLES: dict[str, str] = {
     "residual_explained": f"{SHEET} SELECT page_number, seq FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.page_number = a.page_number AND {containment('a', 'b')} > 0.6)",
     "nearby_identifiers": f"{SHEET} SELECT b.page_number, b.seq AS change_id, array_to_string(list_sort(list_distinct(flatten(list(a.identifiers)))), ',') AS nearby FROM b JOIN a USING (page_number) WHERE len(a.identifiers) > 0 AND {apart('a', 'b')} <= 0.18 GROUP BY ALL",
     "ui_filter_page": f"{CHANGES} SELECT page_number, seq, delta_item_id FROM ch WHERE change_type IN ('added', 'modified') AND confidence_band IN ('high', 'medium') AND contains(lower(concat_ws(' ', delta_item_id, change_type, entity_type, coalesce(before, ''), coalesce(after, ''), description)), 'note') ORDER BY page_number, seq, delta_item_id LIMIT 25 OFFSET 25",
-    "failure_table": f"{CHANGES}, f AS (SELECT page_number, 'low_confidence' AS failure FROM ch WHERE confidence_band = 'low' UNION ALL SELECT page_number, 'review' FROM ch WHERE change_type = 'moved_modified' UNION ALL SELECT page_number, 'false_negative' FROM ch WHERE change_type = 'removed') SELECT page_number, failure, count(*) AS n FROM f GROUP BY ALL",
+    "failure_table": f"""{PREDICTED}, pg AS (SELECT page_number, bool_or(rev = 'A') AS in_a, bool_or(rev = 'B') AS in_b FROM t GROUP BY 1), {JUDGED},
+        f AS (SELECT 'case_status' AS kind, CAST(page_number AS VARCHAR) AS subject, 1 AS n FROM pg WHERE NOT (in_a AND in_b) UNION ALL SELECT 'delta_false_positive', CAST(page_number AS VARCHAR), fp FROM pf WHERE fp > 0 UNION ALL SELECT 'delta_missed_change', CAST(page_number AS VARCHAR), fn FROM pf WHERE fn > 0
+            UNION ALL SELECT 'chat_fact_miss', subject, 1 FROM jd WHERE NOT fact_ok UNION ALL SELECT 'citation_not_grounded', subject, 1 FROM jd WHERE groundedness < 1 UNION ALL SELECT 'refusal_miss', subject, 1 FROM jd WHERE NOT refusal_ok)
+        SELECT kind, subject, CAST(n AS BIGINT) AS n FROM f""",
     "records_union": f"""{SHEET}, pt AS (SELECT rev, page_number, string_agg(normalized_text, chr(10) ORDER BY seq, normalized_text) AS page_text FROM e GROUP BY ALL),
         r AS (SELECT rev, concat(rev, ':p', page_number, ':', element_id) AS source_id, kind AS entity_type, normalized_text AS text, len(identifiers) AS n_ids FROM e WHERE normalized_text <> '' UNION ALL SELECT rev, concat(rev, ':p', page_number, ':page_text'), 'page_text', substr(page_text, 1, 2000), 0 FROM pt WHERE page_text <> '')
         SELECT CASE rev WHEN 'A' THEN 'rev_a' ELSE 'rev_b' END AS source_family, entity_type, count(*) AS n, count(DISTINCT source_id) AS n_ids, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(n_ids) AS BIGINT) AS n_identifiers FROM r GROUP BY ALL""",
@@ -328,10 +368,14 @@ ORACLES: dict[str, str] = {
     "scorecard_compare": """WITH v AS (SELECT event_id % 2 AS half, event_type AS metric, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS value FROM events GROUP BY ALL), t AS (SELECT * FROM (VALUES ('click', CAST(0.5 AS DOUBLE)), ('view', 0.0), ('purchase', 0.1), ('signup', 2.0), ('error', 0.05), ('never', 0.1)) x(metric, tolerance)),
         j AS (SELECT t.*, b.value AS baseline, c.value AS current FROM t LEFT JOIN (SELECT * FROM v WHERE half = 0) b USING (metric) LEFT JOIN (SELECT * FROM v WHERE half = 1 AND metric <> 'signup') c USING (metric))
         SELECT metric, baseline, current, CASE WHEN baseline IS NULL AND current IS NULL THEN 'absent' WHEN baseline IS NULL THEN 'new' WHEN current IS NULL THEN 'missing' WHEN current - baseline < -tolerance THEN 'regressed' WHEN current - baseline > tolerance THEN 'improved' ELSE 'unchanged' END AS status FROM j""",
-    "judge_means": "SELECT avg(quality) AS fact_accuracy, avg(toxic) AS refusal_rate, bool_and(quality >= 0) AS all_gates, count(*) AS n FROM labels",
+    "judge_means": f"WITH {JUDGED} SELECT {MEANS}, count(*) FILTER (measured) AS n_measured, coalesce(avg(CASE WHEN expect_unsupported IS NOT NULL THEN CAST(refusal_ok AS INTEGER) END), 1.0) AS unsupported_refusal_accuracy, count(*) AS n_answers FROM jd",
+    "all_gates": f"WITH {JUDGED}, m AS (SELECT {MEANS} FROM jd), g AS (SELECT unnest(['chat_fact_accuracy', 'citation_precision', 'citation_groundedness']) AS metric, unnest([chat_fact_accuracy >= 0.0, citation_precision >= 0.4, citation_groundedness >= 1.1]) AS passed FROM m) SELECT bool_and(passed) AS all_gates_passed, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (NOT passed), '') AS failed FROM g",
+    "retrieval_checks": f"""WITH {QUESTIONS}, {similar(WORDS)}, {ranked('sim', 'rk', 10)}, k AS (SELECT qid AS check_id, regexp_extract(text, '([A-Za-z]{{5,}})', 1) AS must FROM qs),
+        h AS (SELECT qid AS check_id, max(contains(replace(replace(upper(text), ' ', ''), '-', ''), upper(must)) AND (qid % 2 = 1 OR item_id % 2 = 0)) AS hit FROM rk JOIN benchmark USING (item_id) JOIN k ON k.check_id = rk.qid WHERE rank < 5 GROUP BY 1)
+        SELECT check_id, coalesce(hit, false) AS hit FROM k LEFT JOIN h USING (check_id) WHERE must <> ''""",
     "errors_by_type": "SELECT concat('E', json_extract_string(props, '$.k')) AS error_type, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY 1",
     "last_stage_latency": "SELECT user_id AS run, event_type AS stage, value AS latency_ms FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, value DESC) = 1",
-    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 0), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages",
+    "html_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages",
     "hash_redaction": "SELECT conv_id, turn, role, substr(sha256(coalesce(text, '')), 1, 16) AS text_sha256, length(coalesce(text, '')) AS text_chars FROM conversations",
     "request_ids": f"WITH r AS (SELECT regexp_extract(url, '://([^?#]*)', 1) AS id FROM pages UNION ALL SELECT unnest({listed(['../etc/passwd', 'a/b', '', ' ok-1 ', 'x' * 65])})) SELECT id, count(*) AS n, regexp_full_match(trim(id), '[A-Za-z0-9_-]{{1,64}}') AS valid FROM r GROUP BY id",
 }

@@ -70,7 +70,7 @@ def _entities(path: str, content: bytes) -> Iterator[dict]:
         yield polyline
 
 
-def read_dxf(spark: SparkSession, path: str) -> DataFrame:
+def read_dxf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """ENTITIES of the files at path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

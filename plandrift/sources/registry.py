@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NotFound, PathEscape
+from ..errors import Code, Failure
 from ..limits import DEFAULTS
 
 ENTRY = "struct<underlying_document_id:string, revision_label:string, path:string, media_type:string, display_name:string, max_bytes:bigint, sheet_count:int>"
@@ -25,12 +25,12 @@ def contained(path: str, root: str) -> str:
     for part in path.split("/"):
         if part == "..":
             if not parts:
-                raise PathEscape(f"{path} leads out of {root}", path=path)
+                raise Failure(Code.PATH, f"{path} leads out of its folder")
             parts.pop()
         elif part not in ("", "."):
             parts.append(part)
     if path.startswith("/"):
-        raise PathEscape(f"{path} is absolute", path=path)
+        raise Failure(Code.PATH, "the path of a document is absolute")
     return f"{root.rstrip('/')}/{'/'.join(parts)}"
 
 
@@ -39,7 +39,7 @@ def resolve(registry: DataFrame, root: str, *pids: str) -> DataFrame:
     spark = registry.sparkSession
     found = {r["pid"]: r["path"] for r in registry.filter(F.col("pid").isin(*pids)).select("pid", "path").collect()}
     if missing := [p for p in pids if not found.get(p)]:
-        raise NotFound(f"no such document: {', '.join(missing)}", pids=missing)
+        raise Failure(Code.NOT_FOUND, f"no such document: {', '.join(missing)}")
     files = spark.createDataFrame([(p, contained(found[p], root)) for p in pids], "pid string, file string")
     content = spark.read.format("binaryFile").load([contained(found[p], root) for p in pids])
     hashed = content.select(F.regexp_replace("path", "^file:/*", "/").alias("_file"), F.col("path").alias("source_uri"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plandrift.functions import geometry, similarity, text
-from plandrift.operators.assignment import best_pairs, solve
+from plandrift.operators.assignment import best_pairs, weights
 
 KINDS = [
     ("26-PIT-9062", "instrument_tag", ["26-PIT-9062"]),
@@ -90,16 +90,22 @@ def test_lcs(pairs):
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.randoms(use_true_random=False))
 def test_assignment(n, m, rng):
-    cost = np.array([[rng.choice([0.1, 0.4, 0.5, 0.9, 1.0]) for _ in range(m)] for _ in range(n)])
-    rows, columns = solve(cost)
-    assert len(rows) == min(n, m) == len(set(columns.tolist())) == len(set(rows.tolist()))
-    a, b = (range(n), range(m)) if n <= m else (range(m), range(n))
-    c = cost if n <= m else cost.T
-    best = min(sum(c[i, p[i]] for i in a) for p in itertools.permutations(b, len(a)))
-    assert cost[rows, columns].sum() == pytest.approx(best)
-    i, j = np.nonzero(cost < 1)
-    chosen = best_pairs(i, j, 1 - cost[i, j])
-    assert (1 - cost[i, j])[chosen].sum() == pytest.approx(min(n, m) - best)
+    score = np.array([[rng.choice([0.9, 0.6, 0.5, 0.1, 0.0]) for _ in range(m)] for _ in range(n)])
+    i, j = np.nonzero(score)
+    chosen = best_pairs(i, j, weights(score[i, j], np.zeros(len(i))))
+    assert len(set(i[chosen].tolist())) == len(chosen) == len(set(j[chosen].tolist()))
+    s = score if n <= m else score.T
+    best = max(sum(s[k, p[k]] for k in range(len(s))) for p in itertools.permutations(range(s.shape[1]), len(s)))
+    assert score[i, j][chosen].sum() == pytest.approx(best)
+
+
+def test_assignment_of_a_large_page():
+    """A page of thousands of connected elements is solved without a matrix of all pairs."""
+    rng = np.random.default_rng(2)
+    i = np.repeat(np.arange(4000), 8)
+    j = (i + rng.integers(-20, 20, len(i))) % 4000
+    chosen = best_pairs(i, j, weights(np.where(i == j, 0.9, 0.3), rng.integers(0, 9, len(i))))
+    assert set(zip(i[chosen].tolist(), j[chosen].tolist())) >= set(zip(i[i == j].tolist(), j[i == j].tolist()))
 
 
 def test_facts(spark):

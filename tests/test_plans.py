@@ -68,8 +68,13 @@ def test_scorecard(spark):
     case = card["cases"].first()
     assert (case["tp"], case["fp"], case["fn"]) == (1, 1, 1) and case["f1"] == pytest.approx(0.5)
     values = {r["metric"]: r["value"] for r in card["metrics"].collect()}
-    assert values["chat_fact_accuracy"] == pytest.approx(2 / 3) and values["citation_groundedness"] == 0.5 and values["unsupported_refusal_accuracy"] == 1
+    assert values["chat_fact_accuracy"] == pytest.approx(2 / 3) and values["citation_groundedness"] == pytest.approx(2 / 3) and values["unsupported_refusal_accuracy"] == 1
     assert {r["metric"]: r["passed"] for r in card["gates"].collect()} == {"delta_f1": True, "citation_precision": False}
+    assert card["all_gates"].first().asDict() == {"all_gates_passed": False, "failed": ["citation_precision"]}
+    assert sorted((r["kind"], r["subject"]) for r in card["failures"].collect()) == [("chat_fact_miss", "all/2"), ("citation_not_grounded", "all/2"), ("delta_false_positive", "c"), ("delta_missed_change", "c")]
+    summary = evaluate.summary(card, "cfg", "set")
+    assert summary["gates"] == {"delta_f1": True, "citation_precision": False} and summary["dataset_hash"] == "set"
+    assert "- citation_precision: **failed**" in evaluate.markdown(card)
 
 
 def picture(*squares):
@@ -86,13 +91,31 @@ def test_raster(spark):
     rng = np.random.default_rng(1)
     a = np.where(rng.random((160, 160)) < 0.1, 0, 255).astype(np.uint8)
     got = raster.registration(a, raster.moved(a, 7, 4))
-    assert (got["dx"], got["dy"], got["accepted"]) == (7, 4, True)
+    assert got["matrix"] == (1, 0, 7, 0, 1, 4) and got["accepted"]
+    angle, scale = np.radians(3), 1.0
+    turn = (np.cos(angle), -np.sin(angle), 5.0, np.sin(angle), np.cos(angle), -3.0)
+    blots = picture((20, 20), (100, 40), (60, 100))
+    got = raster.registration(blots, raster.warped(blots, turn))
+    assert got["method"] == "log_polar" and got["confidence"] > 0.85 and np.allclose(got["matrix"], turn, atol=1.5)
     assert raster.registration(picture(), base)["method"] == "none"
     pages = spark.createDataFrame([(1, 160, 160, bytearray(base.tobytes()), bytearray(picture((20, 20), (90, 90)).tobytes()))], "page_number long, width int, height int, pixels_a binary, pixels_b binary")
-    rows_ = raster.page_residuals(pages).collect()
+    found = raster.page_registrations(pages, ["page_number"])
+    assert found.first()["method"] == "identity" and found.first()["accepted"]
+    rows_ = raster.page_residuals(pages.join(found.drop("width", "height"), "page_number"), ["page_number"]).collect()
     assert len(rows_) == 1 and rows_[0]["change_type"] == "added" and rows_[0]["area"] == 41 * 41
 
 
+def test_scan_preparation():
+    level = np.full((200, 300), 255, np.uint8)
+    level[20:190:12, 30:270] = 0
+    angle = np.radians(4)
+    skewed = raster.warped(level, (np.cos(angle), -np.sin(angle), 5, np.sin(angle), np.cos(angle), -8))
+    sharp = lambda a: float((((a < 128).sum(axis=1)) ** 2).sum())
+    assert sharp(raster.deskewed(skewed)) > 3 * sharp(skewed) and (raster.deskewed(level) == level).all()
+    dull = np.random.default_rng(1).integers(100, 140, (100, 120)).astype(np.uint8)
+    assert raster.equalised(dull).std() > 1.5 * dull.std()
+
+
 def test_limits(spark):
     own = spark.createDataFrame([("a", 1, "x" * 10), ("a", 1, "y")], "doc string, page int, raw_text string")
     pages = spark.createDataFrame([("a", 1, "text")], "doc string, page int, page_text string")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plandrift import catalogue
-from plandrift.errors import NotFound, PathEscape, PlandriftError
+from plandrift.errors import Code, Failure
 from plandrift.operators import elements
 from plandrift.sinks import logs, report
 from plandrift.sources import detect, dxf, registry
@@ -19,10 +19,10 @@ def test_registry(spark, tmp_path):
     assert [r["pid"] for r in rows.collect()] == ["P-A", "P-B", "P-X"]
     got = registry.resolve(rows, str(tmp_path), "P-A").collect()
     assert len(got) == 1 and got[0]["byte_size"] == 12 and got[0]["sha256"] == hashlib.sha256(b"%PDF-1.7 one").hexdigest()
-    with pytest.raises(NotFound) as caught:
+    with pytest.raises(Failure, match="pid_not_found") as caught:
         registry.resolve(rows, str(tmp_path), "P-Z")
-    assert caught.value.code == "pid_not_found" and isinstance(caught.value, PlandriftError)
-    with pytest.raises(PathEscape):
+    assert caught.value.code is Code.NOT_FOUND
+    with pytest.raises(Failure, match="path_escape"):
         registry.resolve(rows, str(tmp_path), "P-X")
 
 
