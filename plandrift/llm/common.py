@@ -48,8 +48,11 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 _homes: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage is cut, and lost executors cost nothing."""
+def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: its lineage is cut, and lost executors cost nothing.
+
+    free: gives back what the plan's shuffles hold on disk, which isn't worth it after a small one.
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _homes:
@@ -64,11 +67,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    # The plan is done with: its shuffle files go with its last reference, when the driver's garbage is collected, which
-    # by itself may take half an hour. Listeners hold on to the last execution until another one comes along.
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        # The plan is done with: its shuffle files go with its last reference, when the driver's garbage is collected, which
+        # by itself may take half an hour. Listeners hold on to the last execution until another one comes along.
+        gc.collect()
+        spark.range(1).count()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

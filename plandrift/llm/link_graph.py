@@ -64,13 +64,13 @@ def propagate(seeds: DataFrame, graph: DataFrame) -> DataFrame:
     """
     total = lambda rows, value: rows.groupBy("kind").agg(F.sum(value).alias("total"))  # noqa: E731  two rows: one for each kind
     scaled = lambda rows, value: rows.join(F.broadcast(total(rows, value)), "kind").withColumn(value, F.col(value) / F.col("total")).drop("total")
-    moving = written(scaled(seeds, "weight").withColumnRenamed("weight", "score"), "seeds")
+    moving = written(scaled(seeds, "weight").withColumnRenamed("weight", "score"), "seeds", free=False)
     degree = graph.groupBy("kind", "source").agg(F.count(F.lit(1)).alias("degree"))
     shares = written(graph.join(degree, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (DAMPING / F.col("degree")).alias("share")), "shares")
     passed = moving
     while any(r["total"] > TOLERANCE for r in total(moving, "score").collect()):
         sent = moving.join(shares, ["kind", "host"])
-        moving = written(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")), "scores")
+        moving = written(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")), "scores", free=False)
         passed = passed.unionByName(moving)
     return scaled(passed.groupBy("kind", "host").agg(F.sum("score").alias("score")), "score")
 
