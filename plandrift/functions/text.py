@@ -26,8 +26,8 @@ PROXIMITY = r"\b(near|nearby|around|close to|next to|beside|adjacent to|by the|a
 CONTENT_TOKEN = r"[a-z0-9\-]{3,}"
 REVISION_LABEL = r"\brev(?:ision)?\b\s*[:\-]?\s*([A-Z0-9]{1,3})\b"
 #: Words that are no evidence by themselves.
-STOP_WORDS = "what when where which does did the any this that with from about near only show list how many were was are and for change changed please tell between revisions revision value table there".split()
-EXTRACTIVE_STOP_WORDS = "what which where when near about value table revision between changed change from with that this only were was the and did".split()
+STOP_WORDS = ("what", "when", "where", "which", "does", "did", "the", "any", "this", "that", "with", "from", "about", "near", "only", "show", "list", "how", "many", "were", "was", "are", "and", "for", "change", "changed", "please", "tell", "between", "revisions", "revision", "value", "table", "there")
+EXTRACTIVE_STOP_WORDS = ("what", "which", "where", "when", "near", "about", "value", "table", "revision", "between", "changed", "change", "from", "with", "that", "this", "only", "were", "was", "the", "and", "did")
 REQUEST_ID = r"^[A-Za-z0-9_-]{1,64}$"
 
 # Java's classes know ASCII only unless told otherwise
@@ -91,16 +91,16 @@ def query_tags(question: Column) -> Column:
     return F.concat(F.transform(all_of(question, QUERY_TAG), lambda t: F.replace(F.upper(t), F.lit(" "), F.lit(""))), F.transform(all_of(question, BARE_TAG), F.upper))
 
 
-def has_any(text: Column, words: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w.strip())) for w in words.split(",")])
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 #: The words that route a question; of the rows that fit, the last counts.
 ROUTES = (
-    ("delta", "change,delta,added,removed,difference,modified,moved", ("delta", "rev_a", "rev_b")),
-    ("rev_a", "before,old,rev a,revision a,pid a", ("rev_a", "delta")),
-    ("rev_b", "current,new,rev b,revision b,pid b,after", ("rev_b", "delta")),
-    ("delta_high", "high-confidence,high confidence", ("delta",)),
+    ("delta", ("change", "delta", "added", "removed", "difference", "modified", "moved"), ("delta", "rev_a", "rev_b")),
+    ("rev_a", ("before", "old", "rev a", "revision a", "pid a"), ("rev_a", "delta")),
+    ("rev_b", ("current", "new", "rev b", "revision b", "pid b", "after"), ("rev_b", "delta")),
+    ("delta_high", ("high-confidence", "high confidence"), ("delta",)),
 )
 
 

@@ -25,6 +25,16 @@ def weak(hits: Column, support: Column, top_score: Column) -> Column:
     return (hits == 0) | (support < WEAK_SUPPORT) | (top_score < WEAK_TOP)
 
 
+# What a line of evidence is worth for a shared word, a word of the question within it and a number; what a line
+# with a number, of the changes, or of the later revision is worth where a question's words ask for it; and less for its place
+SHARED, WITHIN, NUMBER, PLACE = 3.0, 2.0, 6.0, 0.01
+ASKS_NUMBER, HAS_NUMBER = ("value", "duty", "setpoint", "how many"), 2.0
+ASKS_CHANGE, IS_CHANGE = ("change", "changed", "added", "removed", "moved"), 1.5
+ASKS_LATER, IS_LATER = ("revision b", "rev b", "current", "after", "new"), 2.5
+# The words of questions that the changes alone answer
+SURE, LOOKED_UP = ("high-confidence", "high confidence"), ("show", "what is", "change")
+
+
 def extractive_score(question: Column, source_id: Column, snippet: Column, position: Column) -> Column:
     """How well one evidence line answers a question, less a little for its position."""
     q, low = F.lower(question), F.lower(snippet)
@@ -34,13 +44,13 @@ def extractive_score(question: Column, source_id: Column, snippet: Column, posit
     in_text = lambda tokens: F.size(F.filter(tokens, lambda t: F.contains(low, t)))
     extra = lambda test, n: F.when(test, n).otherwise(0.0)
     return (
-        3.0 * F.size(F.array_intersect(asked, words(low)))
-        + 2.0 * in_text(asked)
-        + 6.0 * in_text(numbers)
-        + extra(text.has_any(q, "value,duty,setpoint,how many") & snippet.rlike(r"(?U)\d"), 2.0)
-        + extra(text.has_any(q, "change,changed,added,removed,moved") & source_id.startswith("D:"), 1.5)
-        + extra(text.has_any(q, "revision b,rev b,current,after,new") & source_id.startswith("B:"), 2.5)
-        - 0.01 * position
+        SHARED * F.size(F.array_intersect(asked, words(low)))
+        + WITHIN * in_text(asked)
+        + NUMBER * in_text(numbers)
+        + extra(text.has_any(q, ASKS_NUMBER) & snippet.rlike(r"(?U)\d"), HAS_NUMBER)
+        + extra(text.has_any(q, ASKS_CHANGE) & source_id.startswith("D:"), IS_CHANGE)
+        + extra(text.has_any(q, ASKS_LATER) & source_id.startswith("B:"), IS_LATER)
+        - PLACE * position
     )
 
 
@@ -80,5 +90,5 @@ def extracted(evidence: DataFrame, key: str, blocks: int = 12) -> DataFrame:
 def deterministic_route(question: Column) -> Column:
     """Which questions are answered from the change table alone, or null."""
     q = F.trim(F.lower(question))
-    item = text.has(question, r"\b(D-[A-F0-9]+)\b") & text.has_any(q, "show,what is,change")
-    return F.when(text.has_any(q, "high-confidence,high confidence"), "deterministic_high_conf").when(F.contains(q, F.lit("how many")) & F.contains(q, F.lit("added")), "deterministic_count").when(item, "deterministic_item")
+    item = text.has(question, r"\b(D-[A-F0-9]+)\b") & text.has_any(q, LOOKED_UP)
+    return F.when(text.has_any(q, SURE), "deterministic_high_conf").when(F.contains(q, F.lit("how many")) & F.contains(q, F.lit("added")), "deterministic_count").when(item, "deterministic_item")

@@ -50,7 +50,7 @@ def extractive(prompts: DataFrame) -> DataFrame:
     own = prompts.select("qid", question.alias("question")).join(ranked, "qid", "left")
     n = F.coalesce(F.size("r"), F.lit(0))
     ids, lines = F.transform("r", lambda x: x["source_id"]), F.transform("r", lambda x: x["snippet"])
-    many, count = text.has_any(low, "summarize,high-confidence,high confidence"), F.contains(low, F.lit("how many")) & F.contains(low, F.lit("added"))
+    many, count = text.has_any(low, ("summarize", *answers.SURE)), F.contains(low, F.lit("how many")) & F.contains(low, F.lit("added"))
     added = F.size(F.filter(lines, lambda s: F.contains(F.lower(s), F.lit("added")))).cast("string")
     answer = F.when(n == 0, "There is no evidence to answer that.").when(many, F.concat(F.lit("Retrieved changes: "), F.array_join(F.slice(lines, 1, LISTED_SNIPPETS), " | "))).when(count, F.concat(F.lit("About "), added, F.lit(" added items appear in the evidence."))).otherwise(F.get(lines, F.lit(0)))
     cited = F.when(n == 0, F.array().cast("array<string>")).when(many, F.slice(ids, 1, LISTED_SNIPPETS)).when(count, F.slice(ids, 1, 3)).otherwise(F.slice(ids, 1, 1))

@@ -204,8 +204,8 @@ def ranked(sim: str, name: str, depth: int) -> str:
 EVIDENCE = f"WITH {QUESTIONS}, {similar(WORDS)}, {ranked('sim', 'rk', 3)}, ev AS (SELECT rk.*, qs.text AS question, benchmark.text AS text FROM rk JOIN qs USING (qid) JOIN benchmark USING (item_id))"
 
 
-def any_word(t: str, words: str) -> str:
-    return "(" + " OR ".join(f"contains({t}, {q(w)})" for w in words.split(",")) + ")"
+def any_word(t: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({t}, {q(w)})" for w in words) + ")"
 
 
 def _route(column: int) -> str:
@@ -235,8 +235,8 @@ _asked = f"list_filter({_ext('lower(question)')}, lambda x: NOT list_contains({l
 _snippet = "substr(string_split(trim(text), chr(10))[1], 1, 240)"
 EXTRACTIVE = rf"""{EVIDENCE}, x1 AS (SELECT qid, concat('B:p1:', item_id) AS source_id, rank AS position, lower(question) AS ql, {_snippet} AS snippet, {_asked} AS asked FROM ev),
     x2 AS (SELECT qid, source_id, position, CAST(3.0 AS DOUBLE) * len(list_filter(asked, lambda x: list_contains({_ext('lower(snippet)')}, x))) + 2.0 * len(list_filter(asked, lambda x: contains(lower(snippet), x)))
-        + 6.0 * len(list_filter(list_distinct(regexp_extract_all(ql, '\d+(?:[.,]\d+)?')), lambda x: contains(lower(snippet), x))) + CASE WHEN {any_word('ql', 'value,duty,setpoint,how many')} AND regexp_matches(snippet, '\d') THEN 2.0 ELSE 0.0 END
-        + CASE WHEN {any_word('ql', 'revision b,rev b,current,after,new')} THEN 2.5 ELSE 0.0 END - CAST(0.01 AS DOUBLE) * position AS score FROM x1)
+        + 6.0 * len(list_filter(list_distinct(regexp_extract_all(ql, '\d+(?:[.,]\d+)?')), lambda x: contains(lower(snippet), x))) + CASE WHEN {any_word('ql', ('value', 'duty', 'setpoint', 'how many'))} AND regexp_matches(snippet, '\d') THEN 2.0 ELSE 0.0 END
+        + CASE WHEN {any_word('ql', ('revision b', 'rev b', 'current', 'after', 'new'))} THEN 2.5 ELSE 0.0 END - CAST(0.01 AS DOUBLE) * position AS score FROM x1)
     SELECT qid, source_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, position) AS rank FROM x2"""
 CITATIONS = f"""{EVIDENCE}, c1 AS (SELECT qid, question AS answer, CASE WHEN rank = 2 THEN '?' ELSE CAST(item_id AS VARCHAR) END AS source_id FROM ev), r AS (SELECT qid, CAST(item_id AS VARCHAR) AS source_id, substr(text, 1, 240) AS quote FROM ev),
     c2 AS (SELECT c1.*, r.quote, {tokens('answer')} AS ta, {tokens('quote')} AS te FROM c1 LEFT JOIN r USING (qid, source_id)),
@@ -354,7 +354,7 @@ ORACLES: dict[str, str] = {
         SELECT page_number, source_id, CASE WHEN nearest <= 0.18 THEN CAST(0.6 AS DOUBLE) * (CAST(1 AS DOUBLE) - nearest / CAST(0.18 AS DOUBLE)) ELSE 0.0 END AS boost FROM n""",
     "route_questions": f"WITH {QUESTIONS} SELECT qid, {_route(0)} AS intent, {_route(1)} AS families, {has('text', text.PROXIMITY)} AS proximity FROM qs",
     "scope_check": rf"WITH {QUESTIONS}, s AS (SELECT * FROM qs UNION ALL {literals(_SCOPE)}) SELECT qid, list_filter(list_transform({found('text', text.REVISION_LABEL, 'i', 1)}, lambda x: upper(x)), lambda x: x NOT IN ('A', 'B') AND regexp_full_match(x, '\d+|[A-Z]+'))[1] AS asked_revision FROM s",
-    "deterministic_routes": rf"WITH {QUESTIONS}, s AS (SELECT * FROM qs UNION ALL {literals(_ROUTED)}) SELECT qid, CASE WHEN {any_word('lower(text)', 'high-confidence,high confidence')} THEN 'deterministic_high_conf' WHEN contains(lower(text), 'how many') AND contains(lower(text), 'added') THEN 'deterministic_count' WHEN regexp_matches(text, '\b(D-[A-F0-9]+)\b', 'i') AND {any_word('lower(text)', 'show,what is,change')} THEN 'deterministic_item' END AS route FROM s",
+    "deterministic_routes": rf"WITH {QUESTIONS}, s AS (SELECT * FROM qs UNION ALL {literals(_ROUTED)}) SELECT qid, CASE WHEN {any_word('lower(text)', ('high-confidence', 'high confidence'))} THEN 'deterministic_high_conf' WHEN contains(lower(text), 'how many') AND contains(lower(text), 'added') THEN 'deterministic_count' WHEN regexp_matches(text, '\b(D-[A-F0-9]+)\b', 'i') AND {any_word('lower(text)', ('show', 'what is', 'change'))} THEN 'deterministic_item' END AS route FROM s",
     "support_score": SUPPORT,
     "extractive_rank": EXTRACTIVE,
     "citation_support": CITATIONS,

@@ -15,6 +15,8 @@ from ..limits import DEFAULTS
 TEXTS, DIMENSIONS = ("TEXT", "MTEXT", "ATTRIB", "ATTDEF"), ("DIMENSION",)
 GEOMETRY = ("LINE", "LWPOLYLINE", "POLYLINE", "CIRCLE", "ARC", "ELLIPSE", "SPLINE", "SOLID")
 ENTITIES = "path string, at int, dxf_type string, layer string, handle string, name string, raw_text string, measurement double, xs array<double>, ys array<double>, height double, width double, radius double, scale_x double, scale_y double, axis_x double, axis_y double"
+# The height of text that has none, a character's width as a share of it, and half the size of inserts and dimensions
+HEIGHT, CHARACTER, INSERT, DIMENSION = 2.5, 0.62, 2.0, (5.0, 2.0)
 _TAGS = {1: "raw_text", 2: "name", 5: "handle", 8: "layer"}
 _NUMBERS = {40: "height", 41: "width", 42: "measurement"}
 
@@ -84,9 +86,9 @@ def read_dxf(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def extents(entities: DataFrame) -> DataFrame:
     """entities with the box x0, y0, x1, y1 of each in drawing units; those without a finite one are dropped."""
     kind, x, y = F.col("dxf_type"), F.get("xs", F.lit(0)), F.get("ys", F.lit(0))
-    h = F.when(F.coalesce("height", F.lit(0.0)) != 0, F.col("height")).otherwise(2.5)
+    h = F.when(F.coalesce("height", F.lit(0.0)) != 0, F.col("height")).otherwise(HEIGHT)
     chars = F.greatest(F.lit(1), F.length("raw_text"))
-    span = F.when(F.coalesce("width", F.lit(0.0)) != 0, F.col("width")).otherwise(h * 0.62 * chars)
+    span = F.when(F.coalesce("width", F.lit(0.0)) != 0, F.col("width")).otherwise(h * CHARACTER * chars)
     major = F.sqrt(F.col("axis_x") * F.col("axis_x") + F.col("axis_y") * F.col("axis_y"))
     sx, sy = F.abs(F.coalesce(F.nullif("scale_x", F.lit(0.0)), F.lit(1.0))), F.abs(F.coalesce(F.nullif("scale_y", F.lit(0.0)), F.lit(1.0)))
     mid_x, mid_y = F.coalesce(F.get("xs", F.lit(1)), x), F.coalesce(F.get("ys", F.lit(1)), y)
@@ -96,9 +98,9 @@ def extents(entities: DataFrame) -> DataFrame:
         F.when(kind.isin("CIRCLE", "ARC"), around(x, y, F.col("radius"), F.col("radius")))
         .when(kind == "ELLIPSE", around(x, y, major, major))
         .when(kind == "MTEXT", F.array(x, y - h, x + span, y))
-        .when(kind.isin(*TEXTS), F.array(x, y, x + h * 0.62 * chars, y + h))
-        .when(kind == "INSERT", around(x, y, 2.0 * sx, 2.0 * sy))
-        .when(kind.isin(*DIMENSIONS), around(mid_x, mid_y, F.lit(5.0), F.lit(2.0)))
+        .when(kind.isin(*TEXTS), F.array(x, y, x + h * CHARACTER * chars, y + h))
+        .when(kind == "INSERT", around(x, y, INSERT * sx, INSERT * sy))
+        .when(kind.isin(*DIMENSIONS), around(mid_x, mid_y, *map(F.lit, DIMENSION)))
         .when(kind.isin(*GEOMETRY), hull)
     )
     out = entities.withColumn("_b", box)
