@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,18 @@ def has(text: Column, pattern: str, any_case: bool = True) -> Column:
     return F.regexp_like(text, F.lit((_ANY_CASE if any_case else _ANY) + pattern))
 
 
+@cache
+def _singly() -> tuple[str, str]:
+    """The letters with another letter for a capital, and those: title forms where the capital is several letters, as of ß."""
+    pairs = [(c, u) for c in map(chr, range(1, 0x110000)) for u in ("ẞ" if c == "ß" else c.upper() if len(c.upper()) == 1 else c.title(),) if len(u) == 1 and u != c]
+    return "".join(c for c, _ in pairs), "".join(u for _, u in pairs)
+
+
+def upper_singly(text: Column) -> Column:
+    """Upper-cased letter by letter, as SQL engines do; ``upper`` makes SS of ß and FI of a ligature, as Python does."""
+    return F.translate(text, *_singly())
+
+
 def normalise(text: Column) -> Column:
     """White space at the ends dropped, and made one space elsewhere."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " ")

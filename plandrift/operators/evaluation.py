@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -163,10 +164,10 @@ def gates(scores: DataFrame, least: DataFrame) -> DataFrame:
     return scores.join(least, "metric").withColumn("passed", F.coalesce(F.col("value") >= F.col("gate"), F.lit(False)))
 
 
-def retrieval_hits(hits: DataFrame, expected: DataFrame, first: int = 5) -> DataFrame:
+def retrieval_hits(hits: DataFrame, expected: DataFrame, first: int = 5, upper: Callable[[Column], Column] = F.upper) -> DataFrame:
     """(check_id, hit) for expected (check_id, must, families): whether one of the first hits (check_id, position, text,
-    identifiers, source_family) has the text, without regard to case, spaces and hyphens, and is of a family asked for."""
-    bare = lambda c: F.regexp_replace(F.upper(c), "[ -]", "")
+    identifiers, source_family) has the text, without regard to case (by upper), spaces and hyphens, and is of a family asked for."""
+    bare = lambda c: F.regexp_replace(upper(c), "[ -]", "")
     blob = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.array_join(F.coalesce("identifiers", F.array().cast("array<string>")), " "))
     asked = F.coalesce(F.size("families"), F.lit(0)) <= 0
     good = F.contains(bare(blob), bare(F.col("must"))) & (asked | F.array_contains("families", F.col("source_family")))

@@ -122,3 +122,28 @@ def test_limits(spark):
     assert elements.limits(own, pages, "doc").first()["exceeded"] == ""
     with pytest.raises(Exception, match="resource_limit"):
         elements.enforce(elements.limits(own, pages, "doc", {"element_chars": 5})).collect()
+
+
+def test_retrieval_checks_by_letters_as_in_sql(spark, tmp_path):
+    """The question's SSber is not the record's ßber, and its letters stay single."""
+    import duckdb
+
+    from plandrift import catalogue
+
+    spark.createDataFrame([(1, 1, "user", "SSber wort und"), (2, 1, "user", "strasse wort")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "Äßber wort und"), (2, "die Strasse wort"), (3, "und sonst")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("conversations", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["retrieval_checks"]).fetchall()
+    assert sorted(map(tuple, catalogue.retrieval_checks(spark, str(tmp_path)).collect())) == sorted(want) == [(1001, False), (2001, True)]
+
+
+def test_capitals_letter_by_letter(spark):
+    import duckdb
+
+    from plandrift.functions import text
+
+    letters = "".join(chr(i) for i in range(1, 0x11000) if not 0xD800 <= i <= 0xDFFF)
+    got = spark.createDataFrame([(letters,)], "t string").select(text.upper_singly(F.col("t"))).first()[0]
+    assert got == duckdb.execute("SELECT upper(?)", [letters]).fetchone()[0]
