@@ -108,6 +108,24 @@ def test_assignment_of_a_large_page():
     assert set(zip(i[chosen].tolist(), j[chosen].tolist())) >= set(zip(i[i == j].tolist(), j[i == j].tolist()))
 
 
+def test_assignment_of_more_elements_than_the_sql_tries():
+    """A page of 16 by 17 elements, as there is one at sf0.1, against the best sum for each set of taken elements."""
+    rng = np.random.default_rng(9988)
+    score, ties = rng.random((16, 17)).round(2) + 0.01, rng.integers(0, 1 << 16, (16, 17))
+    weight = weights(score, ties)
+    taken, best = np.arange(1 << 17), np.zeros(1 << 17, np.int64)
+    best[1:] = -1
+    for own in weight:
+        more = best.copy()
+        for j, w in enumerate(own):
+            free = taken[(taken >> j & 1 == 0) & (best >= 0)]
+            more[free | 1 << j] = np.maximum(more[free | 1 << j], best[free] + w)
+        best = more
+    i, j = (x.ravel() for x in np.indices(score.shape))
+    chosen = best_pairs(i, j, weight.ravel())
+    assert len(chosen) == 16 and weight.ravel()[chosen].sum() == best.max()
+
+
 def test_facts(spark):
     cases = [("250", "duty 12500", False), ("12.5", "112.5", False), ("250", "changed to 250.", True), ("NOTE 12", "see NOTE12", True), ("12.5", "12.5, ok", True), ("", "x", True)]
     for fact, body, want in cases:
