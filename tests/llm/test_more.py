@@ -197,3 +197,18 @@ def test_values_of_odd_rows(spark):
     assert set(named.values()) == {("und", 0.0)}
     exact = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(whole).filter("doc_id IN (1, 2, 3, 12)").collect()}
     assert exact[1] == exact[2] == (1, 5) and exact[3] == (3, 2) and exact[12] == (12, 1)
+
+
+def test_passages_of_neither_the_first_nor_the_one_before(spark):
+    """Sixty passages, each with a common beginning, that one earlier document has, which is neither the first with a signature nor the one before."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    some = lambda n: [word() for _ in range(n)]
+    start = some(42)
+    passage = [start + some(14) for _ in range(60)]
+    texts = [" ".join(some(20) + p + some(40)) for p in passage] + [" ".join(some(40) + start + some(40)) for _ in range(20)]
+    order = list(range(60))
+    rng.shuffle(order)
+    texts += [" ".join(some(30) + passage[k] + some(20)) for k in order]
+    found = {(r["doc_id"], r["earlier_id"]) for r in compact_windows.passages(frame(spark, list(enumerate(texts)))).collect()}
+    assert found >= {(80 + k, n) for k, n in enumerate(order)}
