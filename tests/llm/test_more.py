@@ -204,8 +204,8 @@ def test_passages_of_neither_the_first_nor_the_one_before(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
     some = lambda n: [word() for _ in range(n)]
-    start = some(42)
-    passage = [start + some(14) for _ in range(60)]
+    start = some(30)
+    passage = [start + some(24) for _ in range(60)]
     texts = [" ".join(some(20) + p + some(40)) for p in passage] + [" ".join(some(40) + start + some(40)) for _ in range(20)]
     order = list(range(60))
     rng.shuffle(order)
