@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plandrift.llm import compact_windows, decision_list, exact_dedup, language, link_graph, packing, preference, queries, superminhash
@@ -212,3 +213,37 @@ def test_passages_of_neither_the_first_nor_the_one_before(spark):
     texts += [" ".join(some(30) + passage[k] + some(20)) for k in order]
     found = {(r["doc_id"], r["earlier_id"]) for r in compact_windows.passages(frame(spark, list(enumerate(texts)))).collect()}
     assert found >= {(80 + k, n) for k, n in enumerate(order)}
+
+
+def test_lines_in_common_make_no_pairs(spark, monkeypatch):
+    """Documents of two lines that others have too, each too short for a passage, are no pairs to compare, however many have a line."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    one, two = ([" ".join(word() for _ in range(34)) for _ in range(12)] for _ in range(2))
+    texts = [f"{x} {y}" for x in one for y in two]
+    rng.shuffle(texts)
+    sizes, plain = {}, compact_windows.written
+
+    def written(df, name, *rest):
+        out = plain(df, name, *rest)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(compact_windows, "written", written)
+    assert compact_windows.passages(frame(spark, list(enumerate(texts)))).isEmpty()
+    assert sizes["open"] <= len(texts)
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_windows_that_were_not_joined(size):
+    """Every window with an earlier one of another document that it is not joined to is told, whatever the batches."""
+    rng = random.Random(13)
+    rows = sorted((rng.randint(0, 20), rng.randint(0, 5), c) for c in rng.sample(range(999), 120))
+    names = ["signature", "doc_id", "turn", "l", "c", "r"]
+    batches = [pa.RecordBatch.from_pydict({n: pa.array([{"signature": s, "doc_id": d, "c": c}.get(n, 0) for s, d, c in rows[k : k + size]], pa.int64()) for n in names}) for k in range(0, len(rows), size)]
+    got = [r for b in compact_windows._collided(iter(batches)) for r in b.to_pylist()]
+    joined = {(r["ca"], r["cb"]) for r in got if r["signature"] is None}
+    left = {c for s, d, c in rows for t, e, o in rows if s == t and e < d and (o, c) not in joined}
+    crowded = {s for s, _, c in rows if c in left}
+    alone = [(r["signature"], r["b"], r["cb"], r["turn"]) for r in got if r["signature"] is not None]
+    assert sorted(alone) == [(s, d, c, int(c in left)) for s, d, c in rows if s in crowded]
