@@ -247,3 +247,28 @@ def test_windows_that_were_not_joined(size):
     crowded = {s for s, _, c in rows if c in left}
     alone = [(r["signature"], r["b"], r["cb"], r["turn"]) for r in got if r["signature"] is not None]
     assert sorted(alone) == [(s, d, c, int(c in left)) for s, d, c in rows if s in crowded]
+
+
+def test_one_earlier_document_for_each_place():
+    """A family of edited copies gives one row for each place that is asked, with a passage, and not one for each pair of documents."""
+    rng = np.random.default_rng(14)
+    near = compact_windows.NEAR
+    base = rng.integers(1, 1 << 16, 2 * near + 1).astype(np.uint16)
+    around = np.repeat(base[None], 300, axis=0)
+    for k, row in enumerate(around):
+        row[(near + 20 + k % 9) : (near + 25 + k % 9)] = rng.integers(1, 1 << 16, 5)
+        row[:5] = rng.integers(1, 1 << 16, 5)
+    doc, c = np.arange(300), np.full(300, 500)
+    for block in (7, 4096):
+        a, b, at, x, y, u, v = compact_windows._neighbours(doc, c, doc > 0, around, block)
+        assert sorted(b.tolist()) == list(range(1, 300)) and (a < b).all() and (at == 500).all()
+        for i in range(len(a)):
+            one, two = around[b[i]][x[i] - 500 + near : y[i] - 500 + near], around[a[i]][u[i] - 500 + near : v[i] - 500 + near]
+            assert len(one) >= compact_windows.PASSAGE and len(np.intersect1d(one, two)) >= 0.8 * len(np.union1d(one, two))
+
+
+def test_runs_of_a_word_have_a_passage_in_a_shorter_run():
+    around = np.random.default_rng(15).integers(1, 1 << 16, (2, 2 * compact_windows.NEAR + 1)).astype(np.uint16)
+    around[0, 40:50] = around[1, 10:80] = 77
+    found = compact_windows._neighbours(np.array([1, 2]), np.array([100, 200]), np.array([False, True]), around)
+    assert found[:3].T.tolist() == [[1, 2, 200]] and found[4] - found[3] == compact_windows.PASSAGE
